@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, token_store
+from . import bpe, media, quality, token_store, toxicity
 from .common import table
 
 
@@ -14,6 +14,16 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_digest(table(spark, sf_dir, "documents"), word_vocabulary())
 
@@ -26,6 +36,6 @@ def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_token_store, op9_byte_bpe, op10_tiff_media)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op5_quality, op6_token_store, op9_byte_bpe, op10_tiff_media)}
 
 ORACLE_SQL: dict[str, str] = {}
