@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, quality, token_store, toxicity
+from . import bpe, decontaminate, media, quality, token_store, toxicity
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -36,6 +40,6 @@ def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op5_quality, op6_token_store, op9_byte_bpe, op10_tiff_media)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_decontaminate, op5_quality, op6_token_store, op9_byte_bpe, op10_tiff_media)}
 
 ORACLE_SQL: dict[str, str] = {}
