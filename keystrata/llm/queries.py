@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, media, quality, token_store, toxicity
+from . import bpe, decontaminate, media, quality, simhash, token_store, toxicity
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_digest(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digest(table(spark, sf_dir, "documents"), *bpe.default_vocabulary())
 
@@ -40,6 +44,6 @@ def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_decontaminate, op5_quality, op6_token_store, op9_byte_bpe, op10_tiff_media)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_decontaminate, op5_quality, op6_token_store, op8_simhash, op9_byte_bpe, op10_tiff_media)}
 
 ORACLE_SQL: dict[str, str] = {}
