@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, media, quality, simhash, token_store, toxicity
+from . import bpe, decontaminate, html_extract, media, quality, simhash, token_store, toxicity
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -44,6 +48,6 @@ def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_decontaminate, op5_quality, op6_token_store, op8_simhash, op9_byte_bpe, op10_tiff_media)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_decontaminate, op4_html_text, op5_quality, op6_token_store, op8_simhash, op9_byte_bpe, op10_tiff_media)}
 
 ORACLE_SQL: dict[str, str] = {}
