@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_extract, media, quality, simhash, token_store, toxicity
+from . import bpe, decontaminate, html_extract, media, quality, recompression, simhash, suffix_dedup, token_store, toxicity
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +40,10 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_digest(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_digest(table(spark, sf_dir, "documents"))
 
@@ -48,6 +56,9 @@ def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_decontaminate, op4_html_text, op5_quality, op6_token_store, op8_simhash, op9_byte_bpe, op10_tiff_media)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_suffix_dedup, op3_decontaminate, op4_html_text, op5_quality, op6_token_store, op7_recompression, op8_simhash, op9_byte_bpe, op10_tiff_media)
+}
 
 ORACLE_SQL: dict[str, str] = {}
