@@ -73,7 +73,7 @@ def shared_prefix(a: Column, b: Column) -> Column:
     x, y = F.hex(a), F.hex(b)
     n = F.least(F.length(x), F.length(y)) / 2
     differs = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), lambda i: F.substr(x, 2 * i - 1, F.lit(2)) != F.substr(y, 2 * i - 1, F.lit(2)))
-    first = F.when(n < 1, F.lit(0)).when(F.size(differs) > 0, F.element_at(differs, 1) - 1).otherwise(n)
+    first = F.when(a.isNull() | b.isNull() | (n < 1), F.lit(0)).when(F.size(differs) > 0, F.element_at(differs, 1) - 1).otherwise(n)
     return F.coalesce(first, F.lit(0)).cast("int")
 
 

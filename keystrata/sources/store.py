@@ -55,6 +55,7 @@ class Store:
         self.kind = self.options.data_type()
         self.reads_done = self.flushes = self.compactions = 0
         self.started, self.closed = clock(), False
+        self.held: list[int] = []  # snapshots taken and not released
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, options: Options | None = None, clock: Callable[[], float] = time.time) -> Store:
@@ -189,7 +190,12 @@ class Store:
         return self.append(batch, order_by="ordinal" if "ordinal" in batch.columns else None)
 
     def snapshot(self) -> int:
-        return self.next_seq()
+        """A point in time that this handle's compactions keep readable until it is released."""
+        self.held.append(self.next_seq())
+        return self.held[-1]
+
+    def release(self, snapshot: int) -> None:
+        self.held.remove(snapshot)
 
     # -- reads ------------------------------------------------------------------------------------
 
@@ -220,7 +226,8 @@ class Store:
     def compact(self, retain: int | None = None, force: bool = False) -> int:
         """Merges every level that is due (with ``force``, everything into one segment); returns the merges done.
 
-        ``retain``: the oldest snapshot that must stay readable; versions that only older ones see may go.
+        ``retain``: the oldest snapshot that must stay readable (also for other handles); versions that only
+        older ones see may go.  Without it, the oldest that this handle holds, or now.
         """
         self._open()
         done = 0
@@ -232,7 +239,7 @@ class Store:
                 return done
             chosen = [f"{self.path}/{r.path}" for r in step.sources]
             log = self.spark.read.schema(changelog_schema(self.kind)).parquet(*chosen)
-            kept = compaction.rewrite(log, self.now(), step.complete, self.next_seq() if retain is None else retain)
+            kept = compaction.rewrite(log, self.now(), step.complete, min([self.next_seq(), *self.held]) if retain is None else retain)
             made = self._write_segment(kept, f"segments/{uuid.uuid4().hex}", step.target)
             gone = {r.segment_id for r in step.sources}
             rest = [r for r in rows if r.segment_id not in gone]
