@@ -28,6 +28,8 @@ from .common import map_slices, shared_dir
 
 #: A container is entered while one child holds this share of its text; a host's path must hold this much of a page's best.
 SHARE, ENOUGH = 0.6, 0.5
+#: The same for elements that say they are the article.
+NAMED_SHARE = 0.3
 #: Hosts whose paths are broadcast at most (some 100 bytes each); beyond, they are joined by page.
 BROADCAST_HOSTS = 200_000
 
@@ -167,9 +169,10 @@ def best_container(tree: Tree, weight: list[int]) -> int:
     at = 0
     while below := children.get(at):
         top = max(below, key=lambda k: (weight[k], -k))
-        if weight[top] <= SHARE * weight[at]:
+        named = [k for k in below if tree.elements[k].tag in ("article", "main") and weight[k] > NAMED_SHARE * weight[at]]
+        if weight[top] <= SHARE * weight[at] and not named:
             break
-        at = top
+        at = max(named, key=lambda k: (weight[k], -k)) if named else top
     return at
 
 
