@@ -30,8 +30,10 @@ from .common import map_slices, shared_dir
 SHARE, ENOUGH = 0.6, 0.5
 #: The same for elements that say they are the article.
 NAMED_SHARE = 0.3
-#: Hosts whose paths are broadcast at most (some 100 bytes each); beyond, they are joined by page.
-BROADCAST_HOSTS = 200_000
+#: A path needs this many votes to be a consensus; a page tries this many leading paths before its own container.
+VOTES, LEADING = 2, 32
+#: Bytes of hosts and paths that are broadcast at most; beyond, they are joined by page.
+BROADCAST_BYTES = 16 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe svg math xmp".split())
@@ -212,29 +214,30 @@ def extract(html: str | None, paths: list[str]) -> str:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, paths): the paths that a host's pages voted for, most votes first."""
+    """(host, paths): the paths that lead the vote of a host's pages, most votes first."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         votes = [vote(h) for h in part.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([part.column(0), pa.array([v and v[0] for v in votes], pa.string()), pa.array([v and v[1] for v in votes], pa.int64())], ["host", "path", "chars"])
 
     votes = map_slices(pages.select("host", "html"), "html", "host string, path string, chars bigint", run)
-    counted = votes.where(F.col("path").isNotNull()).groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    counted = votes.where(F.col("path").isNotNull()).groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).where(F.col("n") >= VOTES)
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), F.desc("chars"), "path"))
-    ranked = counted.withColumn("rank", rank).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("ranked"))
+    ranked = counted.withColumn("rank", rank).where(F.col("rank") <= LEADING).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("ranked"))
     return ranked.select("host", F.col("ranked.path").alias("paths"))
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     shared_dir(pages.sparkSession)
     paths = host_paths(source).checkpoint()
-    if paths.count() <= broadcast_hosts:
+    size = paths.agg(F.sum(F.octet_length("host") + F.octet_length(F.concat_ws("", "paths")))).first()[0] or 0
+    if size <= broadcast_bytes:
         placed = source.join(F.broadcast(paths), "host", "left")
     else:
-        # Too many hosts to broadcast: a page's paths are found without its html, so no host's pages meet in one task.
+        # Too much to broadcast: a page's paths are found without its html, so no host's pages meet in one task.
         key = F.xxhash64("page_id", "url", "html")
         keyed = source.withColumn("key", key)
         found = keyed.select("key", "host").distinct().join(paths, "host").select("key", "paths")

@@ -42,14 +42,14 @@ def test_shared_pages_give_their_articles(spark):
         assert (found[r.page_id].text, found[r.page_id].n_chars, found[r.page_id].url) == (text, len(text), r.url)
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
+@pytest.mark.parametrize("limit", [1000, -1])
 def test_hosts_agree_on_a_path(spark, limit):
     """A page whose own best container is a sidebar-like list follows the host's vote; odd rows pass."""
     good = "<div class='c{0}'><p>{1}</p></div><div class='x'><p>{2}</p></div>"
     rows = [(i, f"http://Host/{i}", good.format(i, "article words " * 10, "short")) for i in range(6)]
     rows += [(7, "http://host/7", good.format(7, "article words " * 3, "much longer other text " * 3)), (8, None, None), (9, "nonsense", "<p>x"), (9, "nonsense", "<p>x"), (None, "http://host/", "")]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id bigint, url string, html string, host int")
-    got = html_extract.extract_pages(pages, broadcast_hosts=limit).collect()
+    got = html_extract.extract_pages(pages, broadcast_bytes=limit).collect()
     texts = {r.page_id: r.text for r in got}
     assert len(got) == len(rows) and texts[0] == ("article words " * 10).strip() and texts[7] == ("article words " * 3).strip()
     assert (texts[8], texts[9], texts[None]) == ("", "x", "")
