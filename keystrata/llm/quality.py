@@ -18,6 +18,7 @@ missing labels are not learnt from; without labels of both kinds every score is
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 from itertools import groupby
 from typing import NamedTuple
 
@@ -99,6 +100,12 @@ class Featurizer:
         return marks, values, stats
 
 
+@lru_cache(maxsize=1)
+def featurizer() -> Featurizer:
+    """The worker's featurizer: what it knows of tokens outlives a task."""
+    return Featurizer()
+
+
 def _top(items: list[str]) -> int:
     from collections import Counter
 
@@ -179,11 +186,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Scores every text; predicted is 1 from THRESHOLD on."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), fold(0, 5).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
-    held: dict[int, Featurizer] = {}
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        made = held.get(0) or held.setdefault(0, Featurizer())
-        model = shared.value
+        made, model = featurizer(), shared.value
         scores = np.array([model.score(*made(t)) for t in part.column(2).to_pylist()])
         return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], [f.split()[0] for f in SCHEMA.split(", ")])
 
@@ -193,12 +198,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows whose text is predicted to be good, unchanged."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    held: dict[int, Featurizer] = {}
     at = docs.columns.index("text")
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        made = held.get(0) or held.setdefault(0, Featurizer())
-        model = shared.value
+        made, model = featurizer(), shared.value
         return part.filter(pa.array([model.score(*made(t or "")) >= THRESHOLD for t in part.column(at).to_pylist()], pa.bool_()))
 
     return map_slices(docs, "text", docs.schema, run)

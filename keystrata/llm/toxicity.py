@@ -184,6 +184,18 @@ class Scorer:
         return float(_softplus(np.clip(self.sentences(text)[0], -30, 30)).sum())
 
 
+_scorers: dict[int, Scorer] = {}
+
+
+def scorer_of(model: Model) -> Scorer:
+    """The worker's scorer of this model: what it knows of tokens outlives a task."""
+    key = zlib.crc32(model.weights.tobytes(), zlib.crc32(repr(model[1:]).encode()))
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(model)
+    return _scorers[key]
+
+
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int, n_sentences bigint, worst_sentence bigint"
 
 
@@ -196,10 +208,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Scores every text; ``worst_sentence`` is the 0-based number of its likeliest toxic sentence."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), fold(2, 4).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
-    held: dict[int, Scorer] = {}
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        scorer = held.get(0) or held.setdefault(0, Scorer(shared.value))
+        scorer = scorer_of(shared.value)
         expected, counts, worst = [], [], []
         for text in part.column(2).to_pylist():
             z, _ = scorer.sentences(text)
@@ -219,7 +230,7 @@ def offending_sentences(docs: DataFrame, model: Model, above: float = 0.5) -> Da
     limit = float(np.log(above / (1 - above)))
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        scorer, rows = Scorer(shared.value), []
+        scorer, rows = scorer_of(shared.value), []
         for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
             z, place = scorer.sentences(text)
             tokens = np.array(text.split(), object)
