@@ -91,15 +91,24 @@ def combine(logs: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, logs)
 
 
-def as_of(log: DataFrame, probes: DataFrame, now) -> DataFrame:
+def as_of(log: DataFrame, probes: DataFrame, now, stretch: int = 1_000_000) -> DataFrame:
     """For each probe (key, at): the live version of highest seq below ``at``, null if there is none.
 
-    One sort of both sides together by (key, seq), so a key with many versions and probes stays linear.
+    A key's versions and probes are sorted together a stretch of seqs at a time, so a hot key is many
+    groups.  What a stretch starts with is the last version of the stretches before: of each, one row
+    that is aggregated before the shuffle.
     """
+    number = lambda seq: F.floor(seq / stretch).cast("bigint")
     versions = log.select("key", "seq", F.lit(1).alias("ks_side"), F.struct("seq", "op", "value", "expires_at").alias("ks_version"), F.lit(None).cast("bigint").alias("at"))
     wanted = probes.select("key", F.col("at").alias("seq"), F.lit(0).alias("ks_side"), F.lit(None).cast(versions.schema["ks_version"].dataType).alias("ks_version"), F.col("at").cast("bigint").alias("at"))
-    order = Window.partitionBy("key").orderBy("seq", "ks_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = versions.unionByName(wanted).withColumn("ks_last", F.last("ks_version", ignorenulls=True).over(order)).where("ks_side = 0")
-    v = F.col("ks_last")
-    good = (v.op == "P") & ~F.coalesce(v.expires_at <= F.lit(now), F.lit(False))
-    return found.select("key", "at", F.when(good, v.seq).alias("seq"), F.when(good, v.value).alias("value"))
+    both = versions.unionByName(wanted).withColumn("ks_part", number(F.col("seq")))
+
+    ends = both.groupBy("key", "ks_part").agg(F.max("ks_version").alias("ks_end"))
+    earlier = Window.partitionBy("key").orderBy("ks_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("key", "ks_part", F.last("ks_end", ignorenulls=True).over(earlier).alias("ks_carried"))
+
+    inside = Window.partitionBy("key", "ks_part").orderBy("seq", "ks_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("ks_last", F.last("ks_version", ignorenulls=True).over(inside)).where("ks_side = 0")
+    v = F.coalesce(F.col("ks_last"), F.col("ks_carried"))
+    good = (v.getField("op") == "P") & ~F.coalesce(v.getField("expires_at") <= F.lit(now), F.lit(False))
+    return found.join(carried, ["key", "ks_part"], "left").select("key", "at", F.when(good, v.getField("seq")).alias("seq"), F.when(good, v.getField("value")).alias("value"))

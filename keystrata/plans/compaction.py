@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.reads import newest
 from ..schema import Options
 
 
@@ -40,11 +41,8 @@ def rewrite(log: DataFrame, now: int, complete: bool, retain: int) -> DataFrame:
     expired put, hides older versions, so it goes only if the merge is complete (none can be elsewhere).
     Older versions always go: it hides them for every snapshot that is kept.
     """
-    recent: Column = F.col("seq") >= F.lit(retain)
-    order = Window.partitionBy("key", "ks_recent").orderBy(F.desc("seq"))
-    ranked = log.withColumn("ks_recent", recent).withColumn("ks_rn", F.row_number().over(order))
-    kept = ranked.where(F.col("ks_recent") | (F.col("ks_rn") == 1))
+    recent = F.col("seq") >= F.lit(retain)
+    older = newest(log.where(~recent))  # planned with a group limit, so a hot key is one row a task
     if complete:
-        dead = (F.col("op") == "D") | F.coalesce(F.col("expires_at") <= F.lit(now), F.lit(False))
-        kept = kept.where(F.col("ks_recent") | ~dead)
-    return kept.drop("ks_recent", "ks_rn")
+        older = older.where((F.col("op") == "P") & ~F.coalesce(F.col("expires_at") <= F.lit(now), F.lit(False)))
+    return log.where(recent).unionByName(older)

@@ -101,4 +101,5 @@ def test_partial_compaction_keeps_what_hides_older_versions(spark):
 def test_as_of(spark, at, value):
     log = frame(spark, [("a", 1, "P", "1", None), ("a", 3, "P", "3", None), ("a", 4, "D", None, None)])
     probes = spark.createDataFrame([("a", at)], "key string, at bigint")
-    assert reads.as_of(log, probes, 0).first().value == value
+    for stretch in (1, 2, 1000):
+        assert reads.as_of(log, probes, 0, stretch).first().value == value
