@@ -30,13 +30,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHARD_BYTES = 4 << 20
 #: Partitions of the exchanges at most; a partition can hold many shards or buckets.
 MAX_PARTITIONS = 20_000
 NULL_ID = -(1 << 63)
+SALTS = 16
 COPY, ANCHORS, MARKS, RUNS = 0, 1, 2, 3
 INFO = "shard int, bucket int, kind tinyint, id bigint, h8 bigint, blob binary"
 INFO_ARROW = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int8()), ("id", pa.int64()), ("h8", pa.int64()), ("blob", pa.binary())])
@@ -295,21 +296,28 @@ class Removal:
         return None if d is None else self.removed[self.shard.starts[d] : self.shard.starts[d + 1]]
 
 
-def remove_repeats(docs: DataFrame, method: Method, apply: Callable[[Removal, pa.Table], pa.Table], schema, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``apply`` of every shard: its rows (all columns of docs, ks_id, ks_h8, ks_body, ks_shard) and removals."""
+def remove_repeats(docs: DataFrame, method: Method, apply: Callable[[Removal, pa.Table], pa.Table], schema, carry: list[Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``apply`` of every shard: its removals and its rows (ks_id, ks_h8, ks_body, ks_shard and ``carry``).
+
+    The exchange holds each text once, and of the other columns only what ``carry`` asks for.
+    """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     total = docs.agg(F.sum(F.length(body))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     parts = min(MAX_PARTITIONS, max(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    marked = docs.withColumns({"ks_id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)), "ks_body": body}).withColumn("ks_h8", F.xxhash64("ks_body"))
-    marked = marked.withColumn("ks_shard", F.pmod(F.xxhash64("ks_id"), F.lit(shards)).cast("int"))
-    dealt = marked.repartition(parts, "ks_shard")
+    doc_id = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID))
+    shard = F.pmod(F.xxhash64(doc_id), F.lit(shards)).cast("int")
+    marked = docs.select(doc_id.alias("ks_id"), body.alias("ks_body"), F.xxhash64(body).alias("ks_h8"), shard.alias("ks_shard"))
+    dealt = docs.select(doc_id.alias("ks_id"), body.alias("ks_body"), F.xxhash64(body).alias("ks_h8"), shard.alias("ks_shard"), *(carry or [])).repartition(parts, "ks_shard")
 
     keys = marked.select("ks_shard", "ks_id", "ks_h8", F.substring(F.unhex(F.sha2("ks_body", 256)), 1, 16).alias("ks_key"))
     firsts = keys.groupBy("ks_key").agg(F.min("ks_id").alias("ks_first"), F.count("*").alias("ks_n")).where("ks_n > 1").drop("ks_n")
     nothing = lambda kind: F.lit(None).cast(kind)
-    copies = keys.join(firsts, "ks_key").where("ks_id > ks_first").select(F.col("ks_shard").alias("shard"), nothing("int").alias("bucket"), F.lit(COPY).cast("tinyint").alias("kind"), F.col("ks_id").alias("id"), F.col("ks_h8").alias("h8"), nothing("binary").alias("blob"))
+    # A group of copies may be a third of all rows: its rows meet the one row of its first in SALTS tasks.
+    salted = keys.withColumn("ks_salt", F.pmod(F.xxhash64("ks_id", F.lit("salt")), F.lit(SALTS)).cast("int"))
+    firsts = firsts.withColumn("ks_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = salted.join(firsts, ["ks_key", "ks_salt"]).where("ks_id > ks_first").select(F.col("ks_shard").alias("shard"), nothing("int").alias("bucket"), F.lit(COPY).cast("tinyint").alias("kind"), F.col("ks_id").alias("id"), F.col("ks_h8").alias("h8"), nothing("binary").alias("blob"))
 
     texts = dealt.groupBy("ks_shard")
     reported = texts.cogroup(copies.groupBy("shard")).applyInArrow(report_anchors(method, parts), INFO)

@@ -236,25 +236,25 @@ def keep_first(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataF
     A character goes only if all of its bytes do, so texts stay valid UTF-8.
     """
     names = docs.columns
+    others = [c for c in names if c not in ("text", "n_chars")]
+    # The other columns travel in one struct, so none of their names can clash.
+    rest = F.struct(F.lit(0), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others))).alias("ks_rest")
+    missing = F.col("text").isNull().alias("ks_missing")
 
     def rewrite(removal: Removal | None, rows: pa.Table) -> pa.Table:
         texts = []
-        for doc_id, h8, body in zip(*(rows.column(c).to_pylist() for c in ("ks_id", "ks_h8", "ks_body")), strict=True):
+        for doc_id, h8, body, gone in zip(*(rows.column(c).to_pylist() for c in ("ks_id", "ks_h8", "ks_body", "ks_missing")), strict=True):
             data, flags = np.frombuffer(body, np.uint8), removal.of(doc_id, h8)
             if flags is None:
                 flags = np.full(len(data), len(data) >= length)
             if flags.any():
                 first = np.flatnonzero((data & 0xC0) != 0x80)
-                size = np.diff(np.append(first, len(data)))
-                flags = np.repeat(np.minimum.reduceat(flags, first), size)
-            texts.append(data[~flags].tobytes().decode())
-        table = rows.select(names)
-        valid = rows.column("text").is_valid().to_pylist()
-        text = pa.array([t if v else None for t, v in zip(texts, valid, strict=True)], pa.string())
-        table = table.set_column(names.index("text"), "text", text)
-        if "n_chars" in names:
-            table = table.set_column(names.index("n_chars"), "n_chars", pa.array([len(t) if v else None for t, v in zip(texts, valid, strict=True)], pa.int64()))
-        return table
-
-    kept = docs.withColumn("n_chars", F.col("n_chars").cast("bigint")) if "n_chars" in names else docs
-    return repeats.remove_repeats(kept, Bytes(length, gram), rewrite, kept.schema)
+                flags = np.repeat(np.minimum.reduceat(flags, first), np.diff(np.append(first, len(data))))
+            texts.append(None if gone else data[~flags].tobytes().decode())
+        return pa.Table.from_arrays([rows.column("ks_rest"), pa.array(texts, pa.string())], names=["ks_rest", "text"])
+
+    shape = docs.select(rest, "text").schema
+    out = repeats.remove_repeats(docs, Bytes(length, gram), rewrite, shape, [rest, missing])
+    back = {c: F.col("ks_rest").getField(f"c{k}").alias(c) for k, c in enumerate(others)}
+    back |= {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in names else {})
+    return out.select(*(back[c] for c in names))
