@@ -83,7 +83,13 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     if len(texts) == 0 or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 0.0, float(labels.mean()) if len(texts) else 0.0)
     known, ids, sentence, doc = Cache(features), [], [], []
-    total = 0
+    total, y = 0, labels.astype(float)
+    # One text in CURVE_SHARE is kept from the weights, for the curve; features must tell the kinds apart in the rest.
+    aside = np.arange(len(texts)) % CURVE_SHARE == 0
+    if y[aside].min() == y[aside].max() or y[~aside].min() == y[~aside].max():
+        aside[:] = False
+    fitted = ~aside
+    there, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for d, text in enumerate(texts):
         reader = Reader()
         codes, lines = reader.read(text)
@@ -95,21 +101,15 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
             each = width[codes]
             at = np.repeat(start[codes] - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum())
             ids.append(flat[at])
+            if fitted[d]:
+                once = np.unique(flat)
+                there[once] += 1
+                toxic[once] += y[d]
             sentence.append((np.repeat(place, each) + total).astype(np.int32))
             n = int(place[-1]) + 1
             doc.append(np.full(n, d, np.int32))
             total += n
     ids, sentence, doc = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (ids, sentence, doc))
-    y = labels.astype(float)
-    # One text in CURVE_SHARE is kept from the weights, for the curve; features must tell the kinds apart in the rest.
-    aside = np.arange(len(texts)) % CURVE_SHARE == 0
-    if y[aside].min() == y[aside].max() or y[~aside].min() == y[~aside].max():
-        aside[:] = False
-    fitted = ~aside
-    pairs = np.unique(doc[sentence].astype(np.int64) * BUCKETS + ids) if len(ids) else np.zeros(0, np.int64)
-    pairs = pairs[fitted[pairs // BUCKETS]]
-    there = np.bincount(pairs % BUCKETS, minlength=BUCKETS)
-    toxic = np.bincount(pairs % BUCKETS, y[pairs // BUCKETS], minlength=BUCKETS)
     share = y[fitted].mean()
     telling = (there >= RARE) & (toxic - share * there >= TELLING * np.sqrt(there * share * (1 - share)))
     keep = telling[ids]
