@@ -35,6 +35,7 @@ SHINGLE, SEED, DISTANCE, BITS = 4, 42, 4, 64
 SAMPLE = 1500
 #: Rows of one value that are compared pair by pair at once; larger groups are searched breadth-first.
 SMALL = 24
+SALTS = 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -242,9 +243,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = total * sum(sum(comb(bin(m).count("1") // 2, d) for d in range(t + 1)) for m, t in zip(plan.masks, plan.thresholds, strict=True))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // 500_000))
     classes = connected_components(links(distinct, plan, parts, distance))
-    placed = distinct.join(classes.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    least = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return prints.join(placed.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    classes = classes.withColumnRenamed("vertex", "fp")
+    # A component may hold a third of all fingerprints: they meet its one smallest id in SALTS tasks.
+    linked = distinct.join(classes, "fp").withColumn("salt", F.pmod(F.xxhash64("fp", F.lit("salt")), F.lit(SALTS)).cast("int"))
+    least = linked.groupBy("component").agg(F.min("first_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lone = distinct.join(classes, "fp", "left_anti").select("fp", F.col("first_id").alias("component_id"))
+    placed = linked.join(least, ["component", "salt"]).select("fp", "component_id").union(lone)
+    return prints.join(placed, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:
