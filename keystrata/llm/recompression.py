@@ -31,7 +31,7 @@ from . import repeats
 from .common import Cache
 from .repeats import NULL_ID, Removal, mix, spread
 
-WORDS, ROUNDS = 13, 3
+WORDS, ROUNDS = 13, 2
 FAR = 1 << 40
 _word_names = Cache(xxhash.xxh64_intdigest, 200_000)
 
@@ -146,15 +146,15 @@ class Words:
             chosen = wider
         return (np.uint64(0xFFFFFFFF) - (chosen & np.uint64(0xFFFFFFFF))).astype(np.int64), np.concatenate(names)
 
-    def resolve(self, units, windows, names):
-        return classes_of(window_names(units, self.window)[windows], names)
+    def content(self, units):
+        return window_names(units, self.window)
+
+    def resolve(self, content, windows, names):
+        return classes_of(content[windows], names)
 
     def carried(self, n):
         return n
 
-    def pack(self, units, low, n):
-        return window_names(units, self.window)[spread(low, n)]
-
     def merge(self, payload, at, names, shards):
         return classes_of(payload[at], names)
 

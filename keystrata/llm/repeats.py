@@ -57,14 +57,14 @@ class Method(Protocol):
     def anchors(self, units: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each position: a number of the anchor that its window selects; names of the anchors by number."""
 
-    def resolve(self, units: np.ndarray, windows: np.ndarray, names: np.ndarray) -> np.ndarray:
+    def content(self, units: np.ndarray) -> np.ndarray:
+        """What is compared and carried: an item for each unit."""
+
+    def resolve(self, content: np.ndarray, windows: np.ndarray, names: np.ndarray) -> np.ndarray:
         """Classes (numbers from 0) of equal windows, given their starts, ascending, and their anchors' names."""
 
     def carried(self, n: np.ndarray) -> np.ndarray:
-        """Units of payload of runs of n windows."""
-
-    def pack(self, units: np.ndarray, low: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Payload of runs."""
+        """Items of content that runs of n windows carry, from their first window on."""
 
     def merge(self, payload: np.ndarray, at: np.ndarray, names: np.ndarray, shards: np.ndarray) -> np.ndarray:
         """Classes of equal windows over shards, given places in the payload, anchors' names and shards."""
@@ -216,7 +216,8 @@ def resolve_shard(method: Method, buckets: int) -> Callable:
             return _rows([])
         windows = spread(low, n)
         run_of = np.repeat(np.arange(len(low)), n)
-        classes = method.resolve(shard.units, windows, name[run_of])
+        content = method.content(shard.units)
+        classes = method.resolve(content, windows, name[run_of])
         order = windows if method.within_document else shard.doc_of(windows)
         first = np.full(int(classes.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(first, classes, order)
@@ -233,7 +234,7 @@ def resolve_shard(method: Method, buckets: int) -> Callable:
         doc = shard.doc_of(low)
         for b, i in _by_target((name % np.uint64(buckets)).astype(np.int64)):
             d = doc[i]
-            out.append((key[0].as_py(), b, RUNS, None, None, to_blob(name[i], shard.ids[d], shard.h8[d], low[i] - shard.starts[d], n[i].astype(np.int32), method.pack(shard.units, low[i], n[i]))))
+            out.append((key[0].as_py(), b, RUNS, None, None, to_blob(name[i], shard.ids[d], shard.h8[d], low[i] - shard.starts[d], n[i].astype(np.int32), content[spread(low[i], method.carried(n[i]))])))
         return _rows(out)
 
     return run

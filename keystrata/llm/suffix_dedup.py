@@ -153,14 +153,17 @@ class Bytes:
             least[: n - rest] = np.minimum(least[: n - rest], least[rest:])
         return (least & np.uint64(0xFFFFFFFF)).astype(np.int64), hashes
 
-    def resolve(self, units, windows, names):
+    def content(self, units):
+        return units
+
+    def resolve(self, content, windows, names):
         # Passages: stretches of bytes that candidate windows cover, end to end, in the order of the text.
         head, n = number_runs(windows)
         begin, end = windows[head], windows[head] + n - 1 + self.window
         near = np.flatnonzero(begin[1:] > end[:-1]) + 1
         begin, end = begin[np.concatenate([[0], near])], end[np.concatenate([near - 1, [len(end) - 1]])]
         size = end - begin
-        passages = units[spread(begin, size)]
+        passages = content[spread(begin, size)]
         k = np.searchsorted(begin, windows, "right") - 1
         local = windows - begin[k] + (np.cumsum(size) - size)[k]
         depth = 8
@@ -176,9 +179,6 @@ class Bytes:
     def carried(self, n):
         return n + self.window - 1
 
-    def pack(self, units, low, n):
-        return units[spread(low, n + self.window - 1)]
-
     def merge(self, payload, at, names, shards):
         steps = [*range(0, self.window - 8, 8), self.window - 8]
         w = words8(payload)
