@@ -20,6 +20,7 @@ are ordered by text; an empty table gives a store without shards.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -38,33 +39,79 @@ HEAD, ENTRY, FOOT = struct.Struct("<4sB3xQ16s"), np.dtype([("id", "<i8"), ("null
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES, SHARD_TEXT = 1000, 8192, 64 << 10, 8 << 20
 
 
+ODD_MARK = re.compile(r"(?:[^\w\s]|[_\x1c-\x1f])[,.] ")
+
+
 class WordCoder:
     """Ids by the tokenizers library, asked once per distinct run of text without ASCII white space.
 
     White space only separates: the normalizer keeps it apart and the split drops it, so a text's ids
-    are those of its runs one after the other.
+    are those of its runs one after the other.  To ask for fewer runs, texts of Latin-1 characters are
+    lower-cased first, as the normalizer would, and a comma or full stop between a word and a space is set
+    apart, unless the mark before it belongs to the same piece.  Runs of letters are asked for many at once:
+    each is one piece, and only a piece's last token has the end mark.
     """
 
-    def __init__(self, path: str, cap: int = 200_000):
+    def __init__(self, path: str, cap: int = 260_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.width = 2 if size <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
+        self.ends = np.zeros(size, bool)
+        for token, k in self.library.get_vocab(with_added_tokens=True).items():
+            self.ends[k] = token.endswith("</w>")
+        # Two generations: what the last ``cap`` runs had is still found, so frequent runs stay.
         self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
         self.cap = cap
 
+    def _singly(self, runs: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(runs, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of runs of letters, asked for as one text."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * self.width
+        if len(stops) != len(words):  # letters to Python that are not to the library
+            return self._singly(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+
+    def _learn(self, runs: list[str]) -> None:
+        plain = [r for r in runs if r.isalpha()]
+        for k in range(0, len(plain), 1000):
+            chunk = plain[k : k + 1000]
+            self.known.update(zip(chunk, self._together(chunk), strict=True))
+        other = [r for r in runs if not r.isalpha()]
+        self.known.update(zip(other, self._singly(other), strict=True))
+
+    @staticmethod
+    def _runs(text: str) -> list[str]:
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split(" ")
+        if "<|" in text:  # special tokens are matched before the normalizer, in lower case only
+            return text.split(" ")
+        text = text.lower()
+        if not ODD_MARK.search(text):
+            text = text.replace(", ", " , ").replace(". ", " . ")
+        return text.split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``width`` bytes."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known = self.known
-        new = [w for w in set().union(*split) if w not in known]
-        if len(known) + len(new) > self.cap:
-            used = set().union(*split)
-            self.known = known = {w: v for w, v in known.items() if w in used} | {"": b""}
-        kind = f"<u{self.width}"
-        for w, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(found.ids, kind).tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        split = [self._runs(t) for t in texts]
+        if len(self.known) > self.cap:
+            self.known, self.before = {"": b""}, self.known
+        known, before = self.known, self.before
+        new = set().union(*split).difference(known)
+        old = new.intersection(before)
+        known.update([(w, before[w]) for w in old])
+        self._learn(list(new - old))
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -130,11 +177,13 @@ class Shard:
         return self.read(k) if k < len(self) and self.index["id"][k] == key else None
 
 
-def _sample(docs: DataFrame, path: str, end_id: int) -> list[bytes]:
-    rows = docs.select(F.xxhash64("doc_id", "body").alias("h"), F.substring("body", 1, SAMPLE_BYTES).alias("body")).orderBy("h").limit(SAMPLE_DOCS).collect()
+def _sample(docs: DataFrame, total: int, path: str, end_id: int) -> list[bytes]:
+    """About SAMPLE_DOCS documents (never more than twice that) by a hash of their id and text."""
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "body"), F.lit(max(1, total // SAMPLE_DOCS))) == 0).limit(2 * SAMPLE_DOCS)
+    rows = chosen.select(F.xxhash64("doc_id", "body").alias("h"), F.substring("body", 1, SAMPLE_BYTES).alias("body")).collect()
     coder = word_coder(path)
-    end = np.array([end_id], f"<u{coder.width}").tobytes()
-    return [raw + end for raw in coder.encode([r.body for r in rows])]
+    end = np.array([end_id], coder.kind).tobytes()
+    return [raw + end for raw in coder.encode([r.body for r in sorted(rows)])]
 
 
 def write_store(docs: DataFrame, path: str, where: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -144,15 +193,16 @@ def write_store(docs: DataFrame, path: str, where: str, end_id: int = 2, id_col:
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
-    dictionary = train_dictionary(_sample(source, path, end_id))
+    row = source.agg(F.sum(F.octet_length("body")).alias("size"), F.count("*").alias("n")).first()
+    size = row["size"] or 0
+    dictionary = train_dictionary(_sample(source, row.n, path, end_id))
     spark.createDataFrame([(dictionary_hash(dictionary), dictionary)], "hash binary, dictionary binary").coalesce(1).write.parquet(f"{where}/dictionary")
     shared = spark.sparkContext.broadcast(dictionary)
-    size = source.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     parts = max(1, -(-size // (2 * SHARD_TEXT)), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def shards(batches):
         coder = word_coder(path)
-        end = np.array([end_id], f"<u{coder.width}").tobytes()
+        end = np.array([end_id], coder.kind).tobytes()
         task, k, ids, arrays, held = None, 0, [], [], 0
 
         def image():
