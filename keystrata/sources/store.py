@@ -21,7 +21,8 @@ from collections.abc import Callable
 from dataclasses import replace
 from typing import NamedTuple
 
-from pyspark.errors import AnalysisException, PySparkException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -274,7 +275,7 @@ class Store:
                 log = spark.read.schema(changelog_schema(store.kind)).parquet(at)
                 log.select(F.sum(F.hash(*COLUMNS).cast("bigint"))).first()
                 good.append(store._describe(f"segments/{name}", 0))
-            except (ValueError, AnalysisException, PySparkException):
+            except (ValueError, PySparkException, Py4JJavaError):
                 bad.append(name)
                 store.fs.rename(at, f"{store.path}/quarantine/{name}")
         rows = [(k + 1, *g[1:]) for k, g in enumerate(sorted(good, key=lambda g: (g[4] or 0, g[8])))]
