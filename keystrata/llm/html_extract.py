@@ -4,7 +4,9 @@ Pass 1 parses each page, finds its content container (the deepest element that s
 page's running text) and votes for the container's path: its tags with their classes, digits generalised.
 Spark adds the votes up for each host.  Pass 2 parses each page again and extracts the elements at the
 path that leads its host's vote; a page without that path, or where it holds too little of the page's text,
-takes the next path of its host, and at last its own container.
+takes the next path of its host, and at last its own container.  Every path with ``VOTES`` votes is tried,
+however many a host has: they are broadcast, or, beyond ``BROADCAST_BYTES``, joined with the paths that each
+page holds.
 
 What is dropped everywhere: scripts, styles, markup, menus, forms, sidebars, footers, page headers and
 elements whose class, id or role names them as such, or as adverts, notices or comments.
@@ -17,11 +19,12 @@ blocks are concerned.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping, Sequence
 from html import unescape
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_slices, shared_dir
@@ -30,10 +33,14 @@ from .common import map_slices, shared_dir
 SHARE, ENOUGH = 0.6, 0.5
 #: The same for elements that say they are the article.
 NAMED_SHARE = 0.3
-#: A path needs this many votes to be a consensus; a page tries this many leading paths before its own container.
-VOTES, LEADING = 2, 32
-#: Bytes of hosts and paths that are broadcast at most; beyond, they are joined by page.
+#: A path needs this many votes to be a consensus.
+VOTES = 2
+#: Bytes of hosts and paths that are broadcast at most; beyond, they are joined by path and page.
 BROADCAST_BYTES = 16 << 20
+#: What a path counts beside its letters.
+ROW_BYTES = 100
+#: A path that a host's pages share is joined in this many tasks.
+SALTS = 16
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe svg math xmp".split())
@@ -197,55 +204,98 @@ def vote(html: str | None) -> tuple[str, int] | None:
     return tree.elements[at].path, weight[at]
 
 
-def extract(html: str | None, paths: list[str]) -> str:
-    """The text at the first path that holds enough of the page's best container, else that container's."""
+def candidates(tree: Tree, weight: list[int], best: int) -> dict[str, set[int]]:
+    """The paths that hold enough of the page's best container, and their elements."""
+    roots: dict[str, set[int]] = {}
+    for k, e in enumerate(tree.elements):
+        if k and not e.dropped:
+            roots.setdefault(e.path, set()).add(k)
+    found = {path: ks for path, ks in roots.items() if sum(weight[k] for k in ks if tree.elements[k].parent not in ks) >= ENOUGH * weight[best]}
+    if tree.elements[best].path == "":
+        found[""] = {0}
+    return found
+
+
+def page_paths(html: str | None) -> list[str]:
+    """The paths that the page can be extracted at."""
+    if not html:
+        return []
+    tree = parse(html)
+    weight = weights(tree)
+    return list(candidates(tree, weight, best_container(tree, weight)))
+
+
+def extract(html: str | None, paths: Mapping[str, int] | Sequence[str]) -> str:
+    """The text at the first path (in order, or of least number) that holds enough of the page's best container, else that container's."""
     if not html:
         return ""
+    if not isinstance(paths, Mapping):
+        paths = {path: k for k, path in reversed(list(enumerate(paths)))}
     tree = parse(html)
     weight = weights(tree)
     best = best_container(tree, weight)
-    for path in paths:
-        if path == tree.elements[best].path == "":
-            return text_under(tree, {0})
-        roots = {k for k, e in enumerate(tree.elements) if k and e.path == path and not e.dropped}
-        if roots and sum(weight[k] for k in roots if tree.elements[k].parent not in roots) >= ENOUGH * weight[best]:
-            return text_under(tree, roots)
-    return text_under(tree, {best})
+    held = candidates(tree, weight, best) if paths else {}
+    first = min((path for path in held if path in paths), key=paths.__getitem__, default=None)
+    return text_under(tree, {best} if first is None else held[first])
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, paths): the paths that lead the vote of a host's pages, most votes first."""
+    """(host, path, n, chars): every path that has VOTES votes of its host's pages."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         votes = [vote(h) for h in part.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([part.column(0), pa.array([v and v[0] for v in votes], pa.string()), pa.array([v and v[1] for v in votes], pa.int64())], ["host", "path", "chars"])
 
     votes = map_slices(pages.select("host", "html"), "html", "host string, path string, chars bigint", run)
-    counted = votes.where(F.col("path").isNotNull()).groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).where(F.col("n") >= VOTES)
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), F.desc("chars"), "path"))
-    ranked = counted.withColumn("rank", rank).where(F.col("rank") <= LEADING).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("ranked"))
-    return ranked.select("host", F.col("ranked.path").alias("paths"))
+    return votes.where(F.col("path").isNotNull()).groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).where(F.col("n") >= VOTES)
+
+
+def leading_paths(keyed: DataFrame, paths: DataFrame) -> DataFrame:
+    """(key, path): the path of most votes among those that a page can be extracted at; pages without one are left out."""
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        held = [page_paths(h) for h in part.column(2).to_pylist()]
+        rows = pa.array([k for k, found in enumerate(held) for _ in found], pa.int64())
+        return pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array([path for found in held for path in found], pa.string())], ["key", "host", "path"])
+
+    held = map_slices(keyed.select("key", "host", "html"), "html", "key bigint, host string, path string", run)
+    # All pages of a host may share a path: they meet its votes in SALTS tasks.
+    salted = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = held.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(salted, ["host", "path", "salt"])
+    return met.groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("chars")).alias("chars"), "path")).alias("first")).select("key", F.col("first.path").alias("path"))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    shared_dir(pages.sparkSession)
+    spark = pages.sparkSession
+    shared_dir(spark)
     paths = host_paths(source).checkpoint()
-    size = paths.agg(F.sum(F.octet_length("host") + F.octet_length(F.concat_ws("", "paths")))).first()[0] or 0
-    if size <= broadcast_bytes:
-        placed = source.join(F.broadcast(paths), "host", "left")
-    else:
-        # Too much to broadcast: a page's paths are found without its html, so no host's pages meet in one task.
-        key = F.xxhash64("page_id", "url", "html")
-        keyed = source.withColumn("key", key)
-        found = keyed.select("key", "host").distinct().join(paths, "host").select("key", "paths")
-        placed = keyed.join(found, "key", "left")
+    size = paths.agg(F.sum(F.octet_length("host") + F.octet_length("path") + ROW_BYTES)).first()[0] or 0
     kind = source.schema["page_id"].dataType.simpleString()
+    schema = f"page_id {kind}, url string, text string, n_chars bigint"
 
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [extract(h, p or []) for h, p in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+    def made(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return map_slices(placed.select("page_id", "url", "html", "paths"), "html", f"page_id {kind}, url string, text string, n_chars bigint", run)
+    if size <= broadcast_bytes:
+        ranks: dict[str, dict[str, int]] = {}
+        for r in sorted(paths.collect(), key=lambda r: (-r.n, -r.chars, r.path)):
+            ranks.setdefault(r.host, {})[r.path] = len(ranks.get(r.host, ()))
+        shared = spark.sparkContext.broadcast(ranks)
+
+        def run(part: pa.RecordBatch) -> pa.RecordBatch:
+            ranks = shared.value
+            return made(part, [extract(h, ranks.get(host, {})) for host, h in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)])
+
+        return map_slices(source.select("page_id", "url", "host", "html"), "html", schema, run)
+
+    # Too much to broadcast: a page's path is found without its html, so no host's pages meet in one task.
+    keyed = source.withColumn("key", F.xxhash64("page_id", "url", "html"))
+    placed = keyed.join(leading_paths(keyed, paths), "key", "left")
+
+    def run_placed(part: pa.RecordBatch) -> pa.RecordBatch:
+        return made(part, [extract(h, [] if p is None else [p]) for h, p in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)])
+
+    return map_slices(placed.select("page_id", "url", "html", "path"), "html", schema, run_placed)

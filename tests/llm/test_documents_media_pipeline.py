@@ -56,6 +56,19 @@ def test_hosts_agree_on_a_path(spark, limit):
     assert html_extract.extract_pages(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1 << 20, -1])
+def test_every_voted_path_of_a_host_counts(spark, limit):
+    """The path with the fewest votes of forty still gives the text of an odd page."""
+    good, words = "<div class='{0}'><p>{1}</p></div><div class='{0}-list'><p>{2}</p></div>", "article words "
+    names = [f"{a}{b}" for a in "abcde" for b in "pqrstuvw"]
+    rows = [(100 * k + j, good.format(name, words * 20, "short")) for k, name in enumerate(names) for j in range(2 if name == "ew" else 3)]
+    rows.append((-1, good.format("ew", words * 3, "much longer other text " * 3)))
+    pages = spark.createDataFrame([(i, f"http://host/{i}", h) for i, h in rows], "page_id bigint, url string, html string")
+    texts = {r.page_id: r.text for r in html_extract.extract_pages(pages, broadcast_bytes=limit).collect()}
+    assert len(texts) == len(rows) and texts[-1] == (words * 3).strip()
+    assert all(t == (words * 20).strip() for i, t in texts.items() if i >= 0)
+
+
 # -- TIFF -----------------------------------------------------------------------------------------
 
 
