@@ -3,8 +3,10 @@
 Words are runs of ASCII digits, letters (lower-cased) and non-ASCII characters.  Each slice of documents
 (a shard) is one sequence of word numbers with a stop between documents; its suffix array holds the
 suffixes that can match at all: those whose first words, as many as the shortest window has, all occur in
-the benchmark.  Every benchmark suffix is looked up by binary search, one word of depth at a time, which
-gives the places of its window (8 words, or the whole of a shorter item) and its longest verbatim match.
+the benchmark.  Every distinct benchmark window (8 words, or the whole of a shorter item) is looked up by
+binary search, one word of depth at a time, which gives its places.  For the longest verbatim match of a
+document, every place of it is looked up the same way in the suffix array of the benchmark, which holds
+every suffix of every item; a match may be of any length, also shorter than a window.
 
 The benchmark is a stated query set: it is read in blocks of ``BLOCK_BYTES`` of text, each block one
 broadcast of that size and one narrow pass over the documents, so no document is ever shuffled.
@@ -36,6 +38,101 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_WORD_BYTES).split() if text else []
 
 
+def known_places(sequence: np.ndarray, least: int, depth: int) -> np.ndarray:
+    """Suffixes that begin with ``least`` words, ordered by their first ``depth``."""
+    n = len(sequence)
+    padded = np.concatenate([sequence, np.zeros(depth + 1, sequence.dtype)])
+    stops = np.flatnonzero(sequence == 0)
+    following = np.append(stops, n)[np.searchsorted(stops, np.arange(n))] if n else np.zeros(0, np.int64)
+    places = np.flatnonzero(following - np.arange(n) >= least)
+    group = np.zeros(len(places), np.int64)
+    for d in range(0, depth, 2):  # refine the groups by two more words, until each is one suffix
+        key = padded[places + d] << 32 | padded[places + d + 1]
+        order = np.lexsort((key, group))
+        places, group, key = places[order], group[order], key[order]
+        fresh = np.ones(len(places), bool)
+        fresh[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+        group = np.cumsum(fresh)
+        if fresh.all():
+            break
+    return places
+
+
+def all_places(sequence: np.ndarray, depth: int) -> np.ndarray:
+    """All suffixes that begin with a word, ordered by their first ``depth``; each round doubles the words compared."""
+    rank, width = sequence + 1, 1
+    while True:
+        key = rank << 32 | np.concatenate([rank[width:], np.zeros(min(width, len(rank)), np.int64)])
+        values, rank = np.unique(key, return_inverse=True)
+        rank, width = rank + 1, 2 * width
+        if width >= depth or len(values) == len(rank):
+            break
+    order = np.argsort(rank, kind="stable")
+    return order[sequence[order] > 0]
+
+
+class SuffixArray:
+    """Sorted suffixes of a sequence of word numbers (0: no word of the benchmark, or a stop).
+
+    An interval of it narrows by one word at a time: inside it the next word is sorted, so two binary
+    searches find the part that has the test's next word.
+    """
+
+    def __init__(self, sequence: np.ndarray, places: np.ndarray):
+        self.padded = np.concatenate([sequence, np.zeros(2, sequence.dtype)])
+        self.places = places
+        self.pairs = self.padded[places] << 32 | self.padded[places + 1]
+
+    def windows(self, test: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each window of the test: the array's interval that matches it."""
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.places), np.int64)
+        first, last = low.copy(), low.copy()
+        live, d = np.flatnonzero(high > low), 0
+        while len(live):
+            a, b = self._narrow(low[live], high[live], d, test[starts[live] + d])
+            live, a, b = live[b > a], a[b > a], b[b > a]
+            low[live], high[live] = a, b
+            d += 1
+            whole = lengths[live] == d
+            first[live[whole]], last[live[whole]] = a[whole], b[whole]
+            live = live[~whole]
+        return first, last
+
+    def longest(self, test: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """For each suffix of the test, which must begin with a word of the array: the words of its longest match."""
+        size = np.ones(len(starts), np.int64)
+        if not len(self.places):
+            return size
+        padded = np.append(test, [0, 0])
+        pair = padded[starts] << 32 | padded[starts + 1]
+        low = np.searchsorted(self.pairs, pair)
+        live = np.flatnonzero((padded[starts + 1] > 0) & (self.pairs[np.minimum(low, len(self.pairs) - 1)] == pair))
+        low, high, d = low[live], np.searchsorted(self.pairs, pair[live], "right"), 2
+        while len(live):
+            size[live] = d
+            word = padded[starts[live] + d]
+            on = word > 0
+            live, low, high = live[on], low[on], high[on]
+            a, b = self._narrow(low, high, d, word[on])
+            on = b > a
+            live, low, high = live[on], a[on], b[on]
+            d += 1
+        return size
+
+    def _narrow(self, low: np.ndarray, high: np.ndarray, d: int, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a = self._bisect(low, high, d, word)
+        return a, self._bisect(a, high, d, word + 1)
+
+    def _bisect(self, low: np.ndarray, high: np.ndarray, d: int, word: np.ndarray) -> np.ndarray:
+        low, high = low.copy(), high.copy()
+        while (open_ := low < high).any():
+            middle = (low + high) // 2
+            less = self.padded[np.minimum(self.places[np.minimum(middle, len(self.places) - 1)] + d, len(self.padded) - 1)] < word
+            low = np.where(open_ & less, middle + 1, low)
+            high = np.where(open_ & ~less, middle, high)
+        return low
+
+
 class Block(NamedTuple):
     """Some benchmark items: numbered words, the items end to end (0 between), and the windows."""
 
@@ -46,6 +143,7 @@ class Block(NamedTuple):
     item_rows: np.ndarray  #: items with the k-th window: item_of[item_rows[k]:item_rows[k + 1]]
     item_of: np.ndarray
     names: list[str]  #: item ids as text
+    array: SuffixArray  #: of the sequence, all suffixes
 
 
 def make_block(items: list[tuple[object, bytes]]) -> Block:
@@ -61,62 +159,9 @@ def make_block(items: list[tuple[object, bytes]]) -> Block:
         sequence += [*numbers, 0]
     found = list(windows.items())
     owners = [sorted(w[1][1]) for w in found]
-    return Block(vocabulary, np.array(sequence, np.int64), np.array([w[1][0] for w in found], np.int64), np.array([len(w[0]) for w in found], np.int64), np.array([0, *accumulate(map(len, owners))], np.int64), np.array([k for o in owners for k in o], np.int64), list(names))
-
-
-class SuffixArray:
-    """Sorted suffixes of a sequence of word numbers (0: no word of the benchmark, or a stop)."""
-
-    def __init__(self, sequence: np.ndarray, least: int, depth: int):
-        """Suffixes that begin with ``least`` words, ordered by their first ``depth``."""
-        n = len(sequence)
-        self.padded = np.concatenate([sequence, np.zeros(depth + 1, sequence.dtype)])
-        stops = np.flatnonzero(sequence == 0)
-        following = np.append(stops, n)[np.searchsorted(stops, np.arange(n))] if n else np.zeros(0, np.int64)
-        places = np.flatnonzero(following - np.arange(n) >= least)
-        group = np.zeros(len(places), np.int64)
-        for d in range(0, depth, 2):  # refine the groups by two more words, until each is one suffix
-            key = self.padded[places + d] << 32 | self.padded[places + d + 1]
-            order = np.lexsort((key, group))
-            places, group, key = places[order], group[order], key[order]
-            fresh = np.ones(len(places), bool)
-            fresh[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
-            group = np.cumsum(fresh)
-            if fresh.all():
-                break
-        self.places = places
-
-    def search(self, test: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each test suffix: the array's interval that matches its window; longest match, a place of it.
-
-        An interval narrows by one word at a time: inside it the next word is sorted, so two binary
-        searches find the part that has the test's next word.
-        """
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.places), np.int64)
-        first, last = low.copy(), low.copy()
-        longest, where = np.zeros(len(starts), np.int64), np.full(len(starts), -1, np.int64)
-        padded = np.concatenate([test, np.zeros(1, test.dtype)])
-        live, d = np.flatnonzero(high > low), 0
-        while len(live):
-            word = padded[np.minimum(starts[live] + d, len(test))]
-            a = self._bisect(low[live], high[live], d, word)
-            b = self._bisect(a, high[live], d, word + 1)
-            on = (b > a) & (word > 0)
-            live, a, b = live[on], a[on], b[on]
-            low[live], high[live], longest[live], where[live] = a, b, d + 1, self.places[a]
-            whole = lengths[live] == d + 1
-            first[live[whole]], last[live[whole]] = a[whole], b[whole]
-            d += 1
-        return first, last, longest, where
-
-    def _bisect(self, low: np.ndarray, high: np.ndarray, d: int, word: np.ndarray) -> np.ndarray:
-        low, high = low.copy(), high.copy()
-        while (open_ := low < high).any():
-            middle = (low + high) // 2
-            less = self.padded[np.minimum(self.places[np.minimum(middle, len(self.places) - 1)] + d, len(self.padded) - 1)] < word
-            low = np.where(open_ & less, middle + 1, low)
-            high = np.where(open_ & ~less, middle, high)
-        return low
+    numbered = np.array(sequence, np.int64)
+    array = SuffixArray(numbered, all_places(numbered, int(np.diff(np.flatnonzero(numbered == 0)).max(initial=1))))
+    return Block(vocabulary, numbered, np.array([w[1][0] for w in found], np.int64), np.array([len(w[0]) for w in found], np.int64), np.array([0, *accumulate(map(len, owners))], np.int64), np.array([k for o in owners for k in o], np.int64), list(names), array)
 
 
 class Hits(NamedTuple):
@@ -127,8 +172,8 @@ class Hits(NamedTuple):
     longest_at: int | None
 
 
-def match(texts: list[bytes | None], block: Block) -> list[Hits]:
-    """The block's matches in a shard of texts."""
+def match(texts: list[bytes | None], block: Block, longest_too: bool = True) -> list[Hits]:
+    """The block's matches in a shard of texts; the longest are 0 unless asked for."""
     get, numbers, begins = block.vocabulary.get, [0], []
     for text in texts:
         begins.append(len(numbers))
@@ -139,9 +184,8 @@ def match(texts: list[bytes | None], block: Block) -> list[Hits]:
     mask, items = np.zeros(len(numbers), bool), [set() for _ in texts]
     longest, longest_at = np.zeros(len(texts), np.int64), np.full(len(texts), -1, np.int64)
     if len(block.starts):
-        gaps = np.diff(np.flatnonzero(block.sequence == 0))
-        array = SuffixArray(sequence, int(block.lengths.min()), int(gaps.max()))
-        first, last, best, where = array.search(block.sequence, block.starts, block.lengths)
+        array = SuffixArray(sequence, known_places(sequence, int(block.lengths.min()), int(block.lengths.max())))
+        first, last = array.windows(block.sequence, block.starts, block.lengths)
         found = np.flatnonzero(last > first)
         if len(found):
             times = last[found] - first[found]
@@ -154,17 +198,14 @@ def match(texts: list[bytes | None], block: Block) -> list[Hits]:
             doc = np.searchsorted(starts, at, "right") - 1
             for d, w in np.unique(np.stack([doc, window], 1), axis=0):
                 items[d].update(block.names[k] for k in block.item_of[block.item_rows[w] : block.item_rows[w + 1]])
-            # Longest matches: each place runs on as far as the test does.
-            size = block.lengths[window].copy()
-            test, here = np.append(block.sequence, 0), np.append(sequence, 0)
-            more = np.arange(len(at))
-            while len(more):
-                a, b = test[block.starts[window[more]] + size[more]], here[at[more] + size[more]]
-                more = more[(a == b) & (a > 0)]
-                size[more] += 1
-            order = np.lexsort((at, -size, doc))
-            top = order[np.unique(doc[order], return_index=True)[1]]
-            longest[doc[top]], longest_at[doc[top]] = size[top], at[top] - starts[doc[top]]
+    if longest_too and texts:
+        known = np.flatnonzero(sequence)
+        size = np.zeros(len(numbers), np.int64)
+        size[known] = block.array.longest(sequence, known)
+        longest = np.maximum.reduceat(size, starts[:-1])
+        top = np.flatnonzero((size > 0) & (size == np.append(0, np.repeat(longest, np.diff(starts)))))
+        doc, at = np.unique(np.searchsorted(starts, top, "right") - 1, return_index=True)
+        longest_at[doc] = top[at] - starts[doc]
     return [Hits(int(e - s - 1), mask[s : e - 1], items[k], int(longest[k]), int(longest_at[k]) if longest[k] else None) for k, (s, e) in enumerate(zip(begins, begins[1:]))]
 
 
@@ -189,7 +230,7 @@ def _free(taken: list[str], name: str) -> str:
     return name
 
 
-def _state(docs: DataFrame, text_col: str, shared: list) -> tuple[DataFrame, str]:
+def _state(docs: DataFrame, text_col: str, shared: list, longest_too: bool = True) -> tuple[DataFrame, str]:
     """All columns of docs and one more, a struct of what the blocks so far found."""
     name = _free(docs.columns, "hits")
     kind = "struct<n_words: bigint, mask: binary, items: array<string>, longest: bigint, longest_at: bigint>"
@@ -201,7 +242,7 @@ def _state(docs: DataFrame, text_col: str, shared: list) -> tuple[DataFrame, str
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t.encode() if isinstance(t, str) else t for t in part.column(text_at).to_pylist()]
             rows = []
-            for hits, old in zip(match(texts, block.value), part.column(at).to_pylist(), strict=True):
+            for hits, old in zip(match(texts, block.value, longest_too), part.column(at).to_pylist(), strict=True):
                 row = {"n_words": hits.n_words, "mask": np.packbits(hits.mask).tobytes(), "items": sorted(hits.items), "longest": hits.longest, "longest_at": hits.longest_at}
                 if old:
                     row["mask"] = (np.frombuffer(row["mask"], np.uint8) | np.frombuffer(old["mask"], np.uint8)).tobytes()
@@ -241,5 +282,5 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows with fewer than CONTAMINATED items' windows, unchanged."""
-    state, hits = _state(docs, text_col, blocks(benchmark))
+    state, hits = _state(docs, text_col, blocks(benchmark), longest_too=False)
     return state.where(F.size(f"{hits}.items") < CONTAMINATED).drop(hits)

@@ -177,6 +177,39 @@ def test_contamination_equals_brute_force(spark, monkeypatch):
         assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [k for k, w in enumerate(wanted) if w[2] < 2]
 
 
+def brute_longest(docs, items):
+    found = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
+    runs = set()
+    for name, text in items:
+        words = found(lower(text or "")) if name is not None else []
+        runs |= {tuple(words[i:k]) for i in range(len(words)) for k in range(i + 1, len(words) + 1)}
+    most = max(map(len, runs), default=0)
+    out = []
+    for text in docs:
+        words = found(lower(text or ""))
+        hits = [(-n, i) for i in range(len(words)) for n in range(1, min(most, len(words) - i) + 1) if tuple(words[i : i + n]) in runs]
+        out.append((-min(hits)[0], min(hits)[1]) if hits else (0, None))
+    return out
+
+
+def test_longest_match_equals_brute_force(spark, monkeypatch):
+    """Also of items that share a window and part after it, and of matches shorter than a window."""
+    rng = random.Random(5)
+    prompt = "read the text below and answer the question that follows"
+    items = [(1, f"{prompt} {' '.join('one two three four five six'.split())}"), (2, f"{prompt} who won the cup in nineteen ten"), (3, "a b c"), (4, None), (None, "never never")]
+    items += [(5 + k, " ".join(rng.choice("abcd") for _ in range(rng.choice([2, 9, 30])))) for k in range(12)]
+    docs = [None, "", "never seen", f"x y {items[1][1]} z", f"{prompt} two three who won the cup in x", "the cup in nineteen", "text", items[-1][1]]
+    docs += [" ".join(rng.choice("abcdez") for _ in range(rng.choice([3, 20, 80]))) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    wanted = brute_longest(docs, items)
+    assert wanted[3] == (17, 2) and wanted[5] == (4, 0)
+    for limit in (1 << 20, 40):
+        monkeypatch.setattr(decontaminate.blocks, "__defaults__", ("item_id", "text", limit))
+        got = decontaminate.contamination_digest(df, bench).orderBy("doc_id").collect()
+        assert [(r.longest_match, r.longest_at) for r in got] == wanted
+
+
 def test_contamination_of_odd_rows(odd, none, spark):
     bench = spark.createDataFrame([(1, "lorem ipsum dolor lorem ipsum dolor lorem ipsum"), (2, "dolor lorem ipsum dolor lorem ipsum dolor lorem")], "item_id bigint, text string")
     rows = by_id(decontaminate.contamination_digest(odd, bench))
