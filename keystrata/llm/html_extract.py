@@ -9,7 +9,10 @@ however many a host has: they are broadcast, or, beyond ``BROADCAST_BYTES``, joi
 page holds.
 
 What is dropped everywhere: scripts, styles, markup, menus, forms, sidebars, footers, page headers and
-elements whose class, id or role names them as such, or as adverts, notices or comments.
+elements whose class, id or role names them as such, or as adverts, notices or comments.  A name does so as
+a whole: ``comments``, ``cookie-notice``, ``sidebar-left``, but not ``related-work`` or ``side-by-side``.  Of
+elements with names of the latter kind only those go that are mostly links, or that stand outside the
+page's article.  Class and id of a heading tell what it is about, and drop nothing.
 
 Defined results: null or empty html and pages without text give an empty text; pages without a host vote
 together; repeated rows get equal results; unclosed and truncated markup is read as browsers do, as far as
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import lru_cache
 from html import unescape
 from typing import NamedTuple
 
@@ -52,10 +56,18 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = frozenset("article section main div table ul ol dl body html blockquote td th".split())
 #: Elements whose text is one block; never containers.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption td th tr ul ol dl table tbody thead figure address".split())
-BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|sidebar|side|footer|foot|masthead|topbar|ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|cookie|cookies|consent|notice|notices|alert|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|breadcrumb|breadcrumbs|pagination|pager|share|sharing|social|related|recommended|comment|comments|commentlist|disqus|reply|replies|respond|widget|tags|toolbar|complementary|contentinfo|header)(?:$|[\s_-]|\d)", re.I)
+BOILERPLATE = frozenset("nav navbar navigation menu menubar sidebar side footer foot masthead topbar ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice notices alert gdpr popup modal overlay newsletter subscribe subscription signup login search breadcrumb breadcrumbs pagination pager share sharing social related recommended comment comments commentlist disqus reply replies respond widget tags toolbar complementary contentinfo header".split())
+#: Words that a name of boilerplate may have besides.
+FURNITURE = frozenset("area articles bar block body bottom box button buttons close col column container content desktop fixed float floating form global google group icon icons inner item items layout left link links list main mobile module outer page panel posts primary region right row secondary section site slot sticky title toggle top unit wrap wrapper zone".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of text: their class must name boilerplate in all its words, their id in one.
+TEXTS = frozenset("p section blockquote pre".split()) | INLINE
+#: An element with a boilerplate word in its name goes if this share of its text is links.
+LINKED = 0.5
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 DIGITS = re.compile(r"\d+")
+PARTS = re.compile(r"[^\W\d_]+")
 
 
 class Element(NamedTuple):
@@ -63,6 +75,7 @@ class Element(NamedTuple):
     tag: str
     path: str
     dropped: bool
+    doubtful: bool = False  #: a boilerplate word is part of its name; never a container unless it holds the article
 
 
 class Tree(NamedTuple):
@@ -70,6 +83,58 @@ class Tree(NamedTuple):
     blocks: list[tuple[int, str, int]]  #: element, text, characters in links; in page order
 
 
+@lru_cache(maxsize=20_000)
+def names_boilerplate(name: str) -> tuple[bool, bool]:
+    """Whether the name is one of boilerplate as a whole; whether a part of it is."""
+    parts = PARTS.findall(name.lower())
+    some = not BOILERPLATE.isdisjoint(parts)
+    return some and all(p in BOILERPLATE or p in FURNITURE for p in parts), some
+
+
+def named(tag: str, names: dict[str, str]) -> tuple[bool, bool]:
+    """Whether class, id or role name the element as boilerplate; whether they may."""
+    if any(names_boilerplate(r)[0] for r in names.get("role", "").split()):
+        return True, True
+    if tag in HEADINGS:
+        return False, False
+    classes = [names_boilerplate(c) for c in names.get("class", "").split()]
+    slug = names.get("id", "").strip()
+    whole, some = names_boilerplate(slug)
+    if tag in TEXTS:
+        bad = bool(classes) and all(w for w, _ in classes) or (whole and len(PARTS.findall(slug)) == 1)
+    else:
+        bad = whole or any(w for w, _ in classes)
+    return bad, some or any(part for _, part in classes)
+
+
+def settled(tree: Tree) -> Tree:
+    """Drops the doubtful elements that are mostly links or stand outside the page's article."""
+    elements = tree.elements
+    if not any(e.doubtful for e in elements):
+        return tree
+    chars, linked = [0] * len(elements), [0] * len(elements)
+    for e, text, n in tree.blocks:
+        chars[e] += len(text)
+        linked[e] += min(n, len(text))
+    inside, around = [e.tag in ("article", "main") for e in elements], [False] * len(elements)
+    for k in range(len(elements) - 1, 0, -1):
+        chars[elements[k].parent] += chars[k]
+        linked[elements[k].parent] += linked[k]
+        around[elements[k].parent] |= around[k] or inside[k]
+    running = 0
+    for k, e in enumerate(elements):
+        if k and inside[e.parent]:
+            inside[k] = True
+        elif inside[k]:
+            running += chars[k] - linked[k]
+    article = running > NAMED_SHARE * (chars[0] - linked[0])
+    out = elements[:1]
+    for k, e in enumerate(elements[1:], 1):
+        gone = e.doubtful and (linked[k] > LINKED * chars[k] or (article and not inside[k] and not around[k]))
+        out.append(e._replace(dropped=e.dropped or out[e.parent].dropped or gone, doubtful=e.doubtful and not around[k]))
+    return Tree(out, [b for b in tree.blocks if not out[b[0]].dropped])
+
+
 def parse(html: str) -> Tree:
     elements = [Element(-1, "", "", False)]
     stack, blocks = [0], []
@@ -134,7 +199,7 @@ def parse(html: str) -> Tree:
             run.append(" " if name == "br" else "")
             continue
         names = {k.lower(): a or b or c for k, a, b, c in NAMES.findall(attributes)} if attributes else {}
-        bad = bool(names) and any(BOILERPLATE.search(v) for v in names.values()) and name not in ("html", "body", "article", "main")
+        bad, doubtful = named(name, names) if names and name not in ("html", "body", "article", "main") else (False, False)
         if name in INLINE and not bad:
             links += name == "a"
             continue
@@ -151,12 +216,12 @@ def parse(html: str) -> Tree:
         inside = any(elements[i].tag in ("article", "main") for i in stack)
         dropped = above.dropped or bad or name in DROPPED or (name == "header" and not inside)
         step = name + "".join(f".{c}" for c in sorted(set(DIGITS.sub("#", names.get("class", "")).split())))
-        elements.append(Element(stack[-1], name, above.path if name in ("html", "body") else f"{above.path}/{step}", dropped))
+        elements.append(Element(stack[-1], name, above.path if name in ("html", "body") else f"{above.path}/{step}", dropped, doubtful))
         stack.append(len(elements) - 1)
         if attributes.endswith("/") and name in INLINE:
             stack.pop()
     flush()
-    return Tree(elements, [b for b in blocks if not elements[b[0]].dropped])
+    return settled(Tree(elements, [b for b in blocks if not elements[b[0]].dropped]))
 
 
 def weights(tree: Tree) -> list[int]:
@@ -173,15 +238,15 @@ def best_container(tree: Tree, weight: list[int]) -> int:
     """The deepest element that still holds most of the running text above it."""
     children: dict[int, list[int]] = {}
     for k, e in enumerate(tree.elements):
-        if k and e.tag not in LEAVES and not e.dropped:
+        if k and e.tag not in LEAVES and not e.dropped and not e.doubtful:
             children.setdefault(e.parent, []).append(k)
     at = 0
     while below := children.get(at):
         top = max(below, key=lambda k: (weight[k], -k))
-        named = [k for k in below if tree.elements[k].tag in ("article", "main") and weight[k] > NAMED_SHARE * weight[at]]
-        if weight[top] <= SHARE * weight[at] and not named:
+        told = [k for k in below if tree.elements[k].tag in ("article", "main") and weight[k] > NAMED_SHARE * weight[at]]
+        if weight[top] <= SHARE * weight[at] and not told:
             break
-        at = max(named, key=lambda k: (weight[k], -k)) if named else top
+        at = max(told, key=lambda k: (weight[k], -k)) if told else top
     return at
 
 

@@ -33,6 +33,28 @@ def test_broken_markup(source, text):
     assert html_extract.extract(source, []) == text
 
 
+LONG = "Running text of the article that goes on for a while and then a little more."
+
+
+@pytest.mark.parametrize("inner", ['<h2 id="related-work">X</h2>', '<h3 id="search-methods"><a href="#s">X</a></h3>', '<section id="social-impact"><p>X</section>', '<div class="side-by-side"><p>X</div>', '<p class="note alert">X</p>', '<h2 id="comments">X</h2>', '<div class="no-sidebar"><p>X</div>', '<pre><span class="token comment">X</span></pre>'])
+@pytest.mark.parametrize("outer", ["<article>{}</article>", "<div class='post'>{}</div>"])
+def test_a_word_of_a_name_drops_nothing(outer, inner):
+    page = f"<body>{outer.format(f'<p>{LONG}</p>{inner}<p>{LONG}</p>')}</body>"
+    assert html_extract.extract(page, []) == f"{LONG} X {LONG}"
+
+
+@pytest.mark.parametrize("inner", ['<div class="cookie-notice">X</div>', '<p class="ad">X</p>', '<div id="sidebar-2">X</div>', '<section class="comments-area">X</section>', '<ul class="col share-links"><li>X</ul>', '<div role="search">X</div>', '<div class="related-work"><a href="a">X Y</a></div>', '<a class="share-button">X</a>'])
+def test_boilerplate_is_dropped_by_its_whole_name_or_links(inner):
+    assert html_extract.extract(f"<body><article><p>{LONG}</p>{inner}<p>{LONG}</p></article></body>", []) == f"{LONG} {LONG}"
+
+
+def test_a_word_of_a_name_and_the_place_drop():
+    page = f"<body><article><p>{LONG}</p></article><div class='reader-comments-x'><p>{LONG} {LONG}</p></div></body>"
+    assert html_extract.extract(page, [""]) == html_extract.extract(page, []) == LONG
+    assert html_extract.extract(f"<body><div class='no-sidebar'><div><p>Before</p></div><article><p>{LONG}</p></article></div></body>", []) == LONG
+    assert LONG in html_extract.extract(f"<body><div class='post'><p>{LONG}</p></div><div class='reader-comments-x'><p>{LONG * 3}</p></div></body>", [])
+
+
 def test_shared_pages_give_their_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     found = {r.page_id: r for r in html_extract.extract_pages(pages).collect()}
