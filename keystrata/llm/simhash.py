@@ -24,11 +24,13 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_slices, shared_dir
 from .components import connected_components
+from .decontaminate import _free
+from .repeats import NULL_ID
 
 SHINGLE, SEED, DISTANCE, BITS = 4, 42, 4, 64
 #: Distinct fingerprints that the plan is estimated on.
@@ -200,15 +202,15 @@ def verified_links(part: np.ndarray, value: np.ndarray, cleared: np.ndarray, pri
     return _forest(np.concatenate(a), np.concatenate(b))
 
 
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp bigint) of every document, checkpointed: it is read several times."""
+def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
+    """(doc_id, row, fp bigint) of every document, checkpointed: it is read several times."""
     shared_dir(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), (F.lit(0) if row is None else row).cast("bigint").alias("row"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(part.column(1).to_pylist()).view(np.int64))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fingerprints(part.column(2).to_pylist()).view(np.int64))], ["doc_id", "row", "fp"])
 
-    return map_slices(source, "body", "doc_id bigint, fp bigint", run).checkpoint()
+    return map_slices(source, "body", "doc_id bigint, row bigint, fp bigint", run).checkpoint()
 
 
 def links(distinct: DataFrame, plan: Plan, parts: int, distance: int = DISTANCE) -> DataFrame:
@@ -232,18 +234,22 @@ def links(distinct: DataFrame, plan: Plan, parts: int, distance: int = DISTANCE)
     return filed.repartition(parts, "part", "value").mapInArrow(verify, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp bigint, component_id) of every document."""
-    spark = docs.sparkSession
-    prints = fingerprint_table(docs, id_col, text_col)
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")).checkpoint()
+def classes_of(distinct: DataFrame, distance: int) -> DataFrame:
+    """(fp, component) of the fingerprints that are linked with another; ``distinct`` has each once, checkpointed."""
+    spark = distinct.sparkSession
     total = distinct.count()
     sample = distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").collect()
     plan = make_plan(np.array([r.fp for r in sample], np.int64).view(np.uint64), total, distance)
     rows = total * sum(sum(comb(bin(m).count("1") // 2, d) for d in range(t + 1)) for m, t in zip(plan.masks, plan.thresholds, strict=True))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // 500_000))
-    classes = connected_components(links(distinct, plan, parts, distance))
-    classes = classes.withColumnRenamed("vertex", "fp")
+    return connected_components(links(distinct, plan, parts, distance)).withColumnRenamed("vertex", "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """(doc_id, fp bigint, component_id) of every document."""
+    prints = fingerprint_table(docs, id_col, text_col)
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")).checkpoint()
+    classes = classes_of(distinct, distance)
     # A component may hold a third of all fingerprints: they meet its one smallest id in SALTS tasks.
     linked = distinct.join(classes, "fp").withColumn("salt", F.pmod(F.xxhash64("fp", F.lit("salt")), F.lit(SALTS)).cast("int"))
     least = linked.groupBy("component").agg(F.min("first_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -256,9 +262,17 @@ def near_duplicate_digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component: that of its smallest id.  Rows without id are not judged and stay."""
-    found = near_duplicates(docs)
-    chosen = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.union(docs.where(F.col("doc_id").isNull()))
+def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """One row of each component: that of its smallest (id, hash of the row), null ids last."""
+    id_name, row_name = _free(docs.columns, "key"), _free(docs.columns, "row")
+    hashed = [F.col(f.name) for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    # The hash covers the id too, so a null id and the number that stands for it differ in it.
+    key, row = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), F.xxhash64(F.col("doc_id").isNull(), *hashed)
+    prints = fingerprint_table(docs, row=row)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "row")).alias("first")
+    distinct = prints.groupBy("fp").agg(first).checkpoint()
+    classes = classes_of(distinct.select("fp"), distance)
+    placed = distinct.join(classes, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
+    chosen = placed.select(F.col("first.id").alias(id_name), F.col("first.row").alias(row_name))
+    keyed = docs.withColumns({id_name: key, row_name: row})
+    return keyed.join(chosen, [id_name, row_name], "left_semi").dropDuplicates([id_name, row_name]).select(*docs.columns)

@@ -200,6 +200,15 @@ def test_near_duplicates_equal_brute_force(spark):
     assert simhash.keep_one(frame(spark, rows).where("false")).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Also where ids repeat or are null: unrelated texts all stay, copies are one."""
+    text = {k: " ".join(f"{k}{j}" for j in range(80)) for k in "abcdef"}
+    rows = [(7, text["a"]), (7, text["b"]), (5, text["b"]), (7, text["c"]), (None, text["c"]), (None, text["d"]), (None, text["d"]), (None, text["e"]), (9, text["f"]), (9, text["f"])]
+    for part in (rows, rows[::-1]):
+        kept = simhash.keep_one(frame(spark, part)).collect()
+        assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(7, text["a"]), (5, text["b"]), (7, text["c"]), (None, text["d"]), (None, text["e"]), (9, text["f"])], key=str)
+
+
 @pytest.mark.parametrize("total", [100, 10**5, 10**6, 10**7, 10**9])
 def test_plans_lose_no_link(total):
     rng = np.random.default_rng(total % 97)
