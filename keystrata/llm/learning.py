@@ -19,13 +19,17 @@ class _Codes(dict):
 
 
 class Reader:
-    """Cuts texts into tokens and numbers the distinct ones; forgets them all when there are too many."""
+    """Cuts texts into tokens and numbers the distinct ones; forgets them all when there are too many.
+
+    ``cleared`` counts how often; codes of one count stay what they are.
+    """
 
     def __init__(self, cap: int = 300_000):
-        self.cap = cap
+        self.cap, self.cleared = cap, 0
         self.clear()
 
     def clear(self) -> None:
+        self.cleared += 1
         self.codes = _Codes()
         self.tokens = self.codes.tokens
 

@@ -70,10 +70,10 @@ class Featurizer:
         self.filled, self.hashed, self.counts = 0, np.zeros((1 << 10, 2), np.int64), np.zeros((1 << 10, 5))
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        before = len(self.reader.tokens)
+        before = self.reader.cleared
         codes, lines = self.reader.read(text)
         tokens = self.reader.tokens
-        if len(tokens) < before:
+        if self.reader.cleared != before:
             self.clear()
         if len(tokens) > len(self.hashed):
             self.hashed, self.counts = (np.concatenate([x, np.zeros((2 * len(tokens) - len(x), x.shape[1]), x.dtype)]) for x in (self.hashed, self.counts))

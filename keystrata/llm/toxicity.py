@@ -157,8 +157,6 @@ class Scorer:
 
     def _fill(self) -> None:
         tokens = self.reader.tokens
-        if len(tokens) < self.filled:
-            self.filled = 0
         if len(tokens) > len(self.weight):
             self.weight, self.ends = (np.resize(x, 2 * len(tokens)) for x in (self.weight, self.ends))
         w = self.model.weights
@@ -170,9 +168,9 @@ class Scorer:
 
     def sentences(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds of each sentence; the number of each token's sentence."""
-        before = len(self.reader.tokens)
+        before = self.reader.cleared
         codes, lines = self.reader.read(text)
-        if len(self.reader.tokens) < before:
+        if self.reader.cleared != before:
             self.filled = 0
         self._fill()
         if not len(codes):

@@ -271,3 +271,18 @@ def test_keep_good_keeps_columns(odd, none, spark):
     assert quality.keep_good(odd, model).count() == 0 and quality.keep_good(none, model).count() == 0
     kept = quality.keep_good(odd, model._replace(w0=10.0))
     assert kept.columns == odd.columns and kept.exceptAll(odd).count() == 0 and kept.count() == 8
+
+
+def test_scores_do_not_depend_on_what_a_worker_read_before():
+    """A text with more distinct tokens than were held is read right after the reader forgot those."""
+    rng = np.random.default_rng(2)
+    before, long = [" ".join(f"{w}{k}{'.' * (k % 3 == 0)}" for k in range(n)) for w, n in (("Ab", 40), ("cde9-", 90))]
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS).astype(np.float32), 0.1, 1.0, 0.0)
+    used, fresh = toxicity.Scorer(model), toxicity.Scorer(model)
+    used.reader.cap = fresh.reader.cap = 30
+    used.expected(before)
+    assert used.expected(long) == fresh.expected(long)
+    used, fresh = quality.Featurizer(), quality.Featurizer()
+    used.reader.cap = fresh.reader.cap = 30
+    used(before)
+    assert all((a == b).all() for a, b in zip(used(long), fresh(long), strict=True))
