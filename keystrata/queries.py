@@ -229,7 +229,7 @@ def stream_latest(spark, sf_dir):
     from uuid import uuid4
 
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet" if not sf_dir.startswith("viewfs") else "*.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
     error = F.col("event_type") == "error"
     log = stream.select(user_key().alias("key"), (F.col("event_id") + 1).alias("seq"), F.when(error, "D").otherwise("P").alias("op"), F.when(~error, F.col("event_type")).alias("value"), F.lit(None).cast("bigint").alias("expires_at"))
     root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/keystrata").rstrip("/")

@@ -38,3 +38,9 @@ def test_entry_runs_without_the_optional_package(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_stream_reads_only_events_on_any_scheme(spark):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.own.link./in", f"file://{DIR}")
+    got, wanted = (QUERIES["stream_latest"](spark, where).collect() for where in ("viewfs://own/in", DIR))
+    assert sorted(got, key=str) == sorted(wanted, key=str)
