@@ -35,7 +35,7 @@ from .common import shared_path, slices
 
 MAGIC, TAIL = b"KTS1", b"KTSX"
 HEAD, ENTRY, FOOT = struct.Struct("<4sB3xQ16s"), np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("tokens", "<u8")]), struct.Struct("<Q4s")
-#: Bounds: documents that the dictionary is trained on, bytes of each used, bytes of the dictionary, bytes of text in a shard.
+#: Bounds: documents that the dictionary is trained on, leading characters of each used, bytes of the dictionary, bytes of text in a shard.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES, SHARD_TEXT = 1000, 8192, 64 << 10, 8 << 20
 
 
