@@ -10,7 +10,7 @@ decided it).  Equal windows therefore contain the same symbols among those that
 Each window selects its highest-level symbol of that kind (ties by hash, then leftmost; single words always
 qualify).  Symbols that several shards or windows share reveal candidate windows (the dataflow is that of
 ``repeats``); a window is verified by its own name, built from its words by the same pairwise naming, along
-with that of its symbol: 128 bits of independent names.
+with that of its symbol.  Both rest on the same 64-bit word hashes; the words are not compared again.
 
 Defined results: null texts have no words (kept_sha256 of nothing); texts under 13 words keep all; all
 words of a copy of an earlier document go; windows that recur in one document only stay; repeated rows
