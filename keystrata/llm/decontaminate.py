@@ -8,12 +8,14 @@ binary search, one word of depth at a time, which gives its places.  For the lon
 document, every place of it is looked up the same way in the suffix array of the benchmark, which holds
 every suffix of every item; a match may be of any length, also shorter than a window.
 
-The benchmark is a stated query set: it is read in blocks of ``BLOCK_BYTES`` of text, each block one
-broadcast of that size and one narrow pass over the documents, so no document is ever shuffled.
+The benchmark is a stated query set: it is read in blocks of ``BLOCK_BYTES`` of text, each one broadcast.  A
+narrow pass over the documents takes ``BLOCKS`` blocks one after the other, in one worker a task; a larger
+benchmark takes more passes, with what was found so far checkpointed between them.  No document is shuffled.
 
 Defined results: null or empty texts have no words; items without words and rows with null item_id have
 no windows; repeated item_ids count as one item, repeated documents get equal results; an empty benchmark
-hits nothing; other columns of either table are ignored.
+hits nothing; other columns of either table are ignored.  ``remove_contaminated`` drops every document that
+holds a window of any item (``contaminated`` of the digest asks for two items); repeated rows stay or go alike.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import map_slices, shared_dir
 
 WINDOW, CONTAMINATED = 8, 2
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, BLOCKS = 4 << 20, 8
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -238,27 +240,35 @@ def _state(docs: DataFrame, text_col: str, shared: list, longest_too: bool = Tru
     at, text_at = len(docs.columns), docs.columns.index(text_col)
     out = pa.struct([("n_words", pa.int64()), ("mask", pa.binary()), ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("longest_at", pa.int64())])
 
-    def stage(block):
+    def stage(some):
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t.encode() if isinstance(t, str) else t for t in part.column(text_at).to_pylist()]
-            rows = []
-            for hits, old in zip(match(texts, block.value, longest_too), part.column(at).to_pylist(), strict=True):
-                row = {"n_words": hits.n_words, "mask": np.packbits(hits.mask).tobytes(), "items": sorted(hits.items), "longest": hits.longest, "longest_at": hits.longest_at}
-                if old:
-                    row["mask"] = (np.frombuffer(row["mask"], np.uint8) | np.frombuffer(old["mask"], np.uint8)).tobytes()
-                    row["items"] = sorted({*row["items"], *old["items"]})
-                    if (old["longest"], -(old["longest_at"] or 0)) >= (hits.longest, -(hits.longest_at or 0)):
-                        row |= {"longest": old["longest"], "longest_at": old["longest_at"]}
-                rows.append(row)
+            rows = part.column(at).to_pylist()
+            for block in some:
+                rows = [_join(old, hits) for old, hits in zip(rows, match(texts, block.value, longest_too), strict=True)]
             return pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(rows, out)], part.schema.names)
 
         return run
 
-    for block in shared:  # narrow passes, one after the other in the same tasks
-        state = map_slices(state, text_col, state.schema, stage(block))
+    for k in range(0, len(shared), BLOCKS):
+        if k:
+            shared_dir(docs.sparkSession)
+            state = state.checkpoint()
+        state = map_slices(state, text_col, state.schema, stage(shared[k : k + BLOCKS]))
     return state, name
 
 
+def _join(old: dict | None, hits: Hits) -> dict:
+    """What earlier blocks found in a document, and this one."""
+    row = {"n_words": hits.n_words, "mask": np.packbits(hits.mask).tobytes(), "items": sorted(hits.items), "longest": hits.longest, "longest_at": hits.longest_at}
+    if old:
+        row["mask"] = (np.frombuffer(row["mask"], np.uint8) | np.frombuffer(old["mask"], np.uint8)).tobytes()
+        row["items"] = sorted({*row["items"], *old["items"]})
+        if (old["longest"], -(old["longest_at"] or 0)) >= (hits.longest, -(hits.longest_at or 0)):
+            row |= {"longest": old["longest"], "longest_at": old["longest_at"]}
+    return row
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: number of words, of hit words, the sorted item ids, the longest verbatim match and its place."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("body"))
@@ -281,6 +291,6 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with fewer than CONTAMINATED items' windows, unchanged."""
+    """The rows without any item's window, unchanged."""
     state, hits = _state(docs, text_col, blocks(benchmark), longest_too=False)
-    return state.where(F.size(f"{hits}.items") < CONTAMINATED).drop(hits)
+    return state.where(F.size(f"{hits}.items") == 0).drop(hits)

@@ -3,84 +3,47 @@
 A window is a fixed number of consecutive units (bytes or words) of one document.  The task is to find
 every window that also starts earlier, over all documents, without comparing documents in pairs:
 
-1. Documents are dealt to shards by their id; one exchange of the texts serves every later step.  Equal
-   texts are found by hash: only the first of them takes part, the others are repeats as a whole.
-2. Every window selects an anchor inside itself by its content alone, so equal windows select equal
-   anchors.  A shard hands on the distinct names of its anchors: one row a shard and bucket of names.
-3. Buckets report to the shards which of their anchors other shards have as well.
-4. A shard resolves its own candidate windows (those of anchors that occur twice), marks all but the first
-   of equals, and hands on the runs of windows that are first in the shard and whose anchor is elsewhere too.
-5. Buckets merge the shards' runs: of equal windows all but the first over all shards are marked.
-6. Marks go back to the shards of their documents, which apply them.
-
-A window that half of all documents hold is one entry a shard from step 2 on, so hot passages and groups
-of copies never meet in one task unreduced.  Buckets grow in number with the shards, so each holds a
-bounded share.  Nothing is sampled or capped; the anchors only decide which windows are compared.
+1. Documents are dealt to shards by a hash of id and text; one exchange of the texts serves every later step.
+   Equal texts are found by hash: only the first of them takes part, the others are repeats as a whole.
+2. Every window selects an anchor inside itself by its content alone, so equal windows select equal anchors
+   at equal offsets.  Shards learn over the tree of nodes (``tree``) which anchors other shards have as well.
+3. A shard marks all but the first of its own equal windows, and sends the runs of windows that are first in
+   it and whose anchor others have to the tree's nodes.
+4. A node merges its children's runs: each child's windows are sorted by (anchor, offset, content), and one
+   child's are looked up in another's by binary search that compares contents; children merge in pairs, and
+   pairs of pairs.  All but the first of equal windows are marked; what is first goes up to the next level.
+5. Marks go to the shards of their documents, which apply them.
+
+A window that half of all documents hold is one entry a shard from step 3 on and one a node further up, so hot
+passages and groups of copies never meet in one task unreduced.  A text beyond ``BLOCK`` units is handled a
+block at a time, with blocks that overlap by a window.  Nothing is sampled or capped; anchors only decide which
+windows are compared.
 
 Documents are ordered by (id, hash of text), null ids first; rows with equal id and text are one document
-and get equal results.  Ids equal to the smallest bigint count as null.
+and get equal results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import Any, Protocol
+from typing import NamedTuple, Protocol
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tree import COPY, INFO, MARKS, RUNS, Tree, blobs, by_target, from_blob, info_rows, mix, to_blob
+
 SHARD_BYTES = 4 << 20
-#: Partitions of the exchanges at most; a partition can hold many shards or buckets.
+#: Partitions of the exchanges at most.  Shards and nodes are handled one by one, so a partition can hold many.
 MAX_PARTITIONS = 20_000
 NULL_ID = -(1 << 63)
-SALTS = 16
-COPY, ANCHORS, MARKS, RUNS = 0, 1, 2, 3
-INFO = "shard int, bucket int, kind tinyint, id bigint, h8 bigint, blob binary"
-INFO_ARROW = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int8()), ("id", pa.int64()), ("h8", pa.int64()), ("blob", pa.binary())])
-RUN_KINDS, MARK_KINDS = ("<u8", "<i8", "<i8", "<i8", "<i4"), ("<i8", "<i8", "<i8", "<i8")
-
-
-class Method(Protocol):
-    """What differs between the operators."""
-
-    window: int
-    within_document: bool  #: whether an earlier start in the same document counts
-    payload: str  #: dtype of the units that a run of windows carries
-
-    def units(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Any]:
-        """All units end to end, where each text's begin (and the end), and what ``kept`` needs."""
-
-    def anchors(self, units: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each position: a number of the anchor that its window selects; names of the anchors by number."""
-
-    def content(self, units: np.ndarray) -> np.ndarray:
-        """What is compared and carried: an item for each unit."""
-
-    def resolve(self, content: np.ndarray, windows: np.ndarray, names: np.ndarray) -> np.ndarray:
-        """Classes (numbers from 0) of equal windows, given their starts, ascending, and their anchors' names."""
-
-    def carried(self, n: np.ndarray) -> np.ndarray:
-        """Items of content that runs of n windows carry, from their first window on."""
-
-    def merge(self, payload: np.ndarray, at: np.ndarray, names: np.ndarray, shards: np.ndarray) -> np.ndarray:
-        """Classes of equal windows over shards, given places in the payload, anchors' names and shards."""
-
-    def kept(self, extra: Any, d: int, removed: np.ndarray) -> bytes:
-        """What is left of the d-th text."""
-
-
-def mix(a: np.ndarray) -> np.ndarray:
-    """Finalizer of 64-bit hashes (public splitmix64 constants)."""
-    a = a ^ (a >> np.uint64(30))
-    a = a * np.uint64(0xBF58476D1CE4E5B9)
-    a ^= a >> np.uint64(27)
-    a *= np.uint64(0x94D049BB133111EB)
-    a ^= a >> np.uint64(31)
-    return a
+SIGN = -(1 << 63)
+#: Groups of copies above this share of all rows are joined in several tasks; there can be so many of them at most.
+HOT_GROUPS = 1000
+RUN_KINDS, MARK_KINDS = ("<u8", "<u8", "<i8", "<i8", "<i8", "<i8", "<i2", "<i4"), ("<i8", "<i8", "<i8", "<i8")
 
 
 def spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -101,232 +64,310 @@ def number_runs(at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first, np.diff(np.append(first, len(at)))
 
 
-def to_blob(*arrays: np.ndarray) -> bytes:
-    sizes = np.array([len(a) for a in arrays], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+class Method(Protocol):
+    """What differs between the operators."""
 
+    window: int
+    within_document: bool  #: whether an earlier start in the same document counts
+    payload: str  #: dtype of the units that a run of windows carries
+    steps: list[int]  #: places in a window whose ``words`` hold it whole
 
-def from_blob(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    out, at = [], 8 * len(kinds)
-    for n, kind in zip(np.frombuffer(raw, "<i8", len(kinds)), kinds, strict=True):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += out[-1].nbytes
-    return out
+    def words(self, payload: np.ndarray) -> np.ndarray:
+        """For each place a number; windows compare as the numbers at their steps do."""
+
+
+class Runs(NamedTuple):
+    """Windows that follow each other in a document and select one anchor; parallel arrays but for the payload."""
+
+    name: np.ndarray  #: of the anchor
+    level: np.ndarray  #: of the tree's highest node that has the anchor from several children
+    shard: np.ndarray
+    id: np.ndarray
+    h8: np.ndarray
+    low: np.ndarray  #: the first window's start in its document
+    off: np.ndarray  #: the anchor's place in the first window
+    n: np.ndarray  #: windows
+    payload: np.ndarray  #: units of all runs, n + window - 1 of each
+
+    def begins(self, window: int) -> np.ndarray:
+        size = self.n.astype(np.int64) + window - 1
+        return np.cumsum(size) - size
+
+    def pick(self, at: np.ndarray, window: int) -> Runs:
+        units = spread(self.begins(window)[at], self.n[at].astype(np.int64) + window - 1)
+        return Runs(*(x[at] for x in self[:-1]), self.payload[units])
+
+    def pack(self) -> bytes:
+        return to_blob(*(x.astype(k) for x, k in zip(self[:-1], RUN_KINDS, strict=True)), self.payload)
+
+    @classmethod
+    def joined(cls, parts: list[Runs]) -> Runs:
+        return cls(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
-def _rows(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) or [()] * 6
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, INFO_ARROW, strict=True)], schema=INFO_ARROW)
+def ranks(ids: np.ndarray, h8: np.ndarray) -> np.ndarray:
+    """Numbers of documents in their order."""
+    order = np.lexsort((h8, ids))
+    fresh = np.ones(len(ids), np.int64)
+    fresh[1:] = (ids[order][1:] != ids[order][:-1]) | (h8[order][1:] != h8[order][:-1])
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.cumsum(fresh)
+    return out
+
 
+def compare(words: np.ndarray, a: np.ndarray, b: np.ndarray, steps: list[int]) -> np.ndarray:
+    """-1, 0 or 1 as the window at a is below, equal to or above the one at b."""
+    out, live = np.zeros(len(a), np.int8), np.arange(len(a))
+    for d in steps:
+        x, y = words[a[live] + d], words[b[live] + d]
+        differ = x != y
+        if differ.any():
+            out[live[differ]] = np.where(x[differ] < y[differ], -1, 1)
+            live = live[~differ]
+            if not len(live):
+                break
+    return out
 
-def _by_target(target: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(target, indexes) of each distinct target."""
-    if not len(target):
-        return []
-    order = np.argsort(target, kind="stable")
-    first = np.concatenate([[0], np.flatnonzero(np.diff(target[order])) + 1, [len(order)]])
-    return [(int(target[order[a]]), order[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
 
+def equal_windows(tag: np.ndarray, at: np.ndarray, child: np.ndarray, words: np.ndarray, steps: list[int]) -> np.ndarray:
+    """A number for each window, equal for those with equal tag and content, over all children.
 
-class Shard:
+    Each child's windows are sorted; then children merge in pairs: the windows of one are searched in the
+    sorted windows of the other, and those that are not there are put in their places.
+    """
+    order = np.lexsort((tag, child))
+    t, c = tag[order], child[order]
+    tied = np.zeros(len(order), bool)
+    tied[1:] = (t[1:] == t[:-1]) & (c[1:] == c[:-1])
+    tied[:-1] |= tied[1:]
+    some = np.flatnonzero(tied)
+    root = np.arange(len(tag))
+    fresh = np.ones(len(order), bool)
+    if len(some):  # a child's windows of one tag are in the order of their contents
+        group = np.cumsum(np.append(True, (t[some][1:] != t[some][:-1]) | (c[some][1:] != c[some][:-1])))
+        places = at[order[some]]
+        sorted_ = np.lexsort((*(words[places + d] for d in reversed(steps)), group))
+        order[some] = order[some][sorted_]
+        equal = (group[sorted_][1:] == group[sorted_][:-1]) & (compare(words, at[order[some]][1:], at[order[some]][:-1], steps) == 0)
+        first = np.maximum.accumulate(np.where(np.append(True, ~equal), np.arange(len(some)), 0))
+        root[order[some]] = order[some[first]]
+        fresh[some[1:][equal]] = False
+    order = order[fresh]
+    leaves = np.split(order, np.flatnonzero(np.diff(child[order])) + 1)
+    while len(leaves) > 1:
+        merged = []
+        for k in range(0, len(leaves) - 1, 2):
+            big, small = sorted(leaves[k : k + 2], key=len, reverse=True)
+            low, high = np.searchsorted(tag[big], tag[small]), np.searchsorted(tag[big], tag[small], "right")
+            found = np.full(len(small), -1)
+            live = np.flatnonzero(low < high)
+            while len(live):
+                middle = (low[live] + high[live]) // 2
+                side = compare(words, at[big[middle]], at[small[live]], steps)
+                found[live[side == 0]] = middle[side == 0]
+                low[live[side < 0]] = middle[side < 0] + 1
+                high[live[side > 0]] = middle[side > 0]
+                live = live[(side != 0) & (low[live] < high[live])]
+            new = found < 0
+            root[small[~new]] = big[found[~new]]
+            merged.append(np.insert(big, low[new], small[new]))
+        leaves = merged + leaves[len(leaves) // 2 * 2 :]
+    while (root[root] != root).any():
+        root = root[root]
+    return root
+
+
+def merge_runs(method: Method, runs: Runs, child: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """(run, first window, windows) of the repeats among the children's runs; runs that have windows which are first."""
+    window, count = method.window, len(runs.n)
+    n, begin, words = runs.n.astype(np.int64), runs.begins(method.window), method.words(runs.payload)
+    rank = ranks(runs.id, runs.h8)
+    first = rank << 32 | runs.low if method.within_document else rank  # of the first window; the others' follow
+    # Runs that are equal as a whole: all windows repeat those of the least.
+    last = begin + n - 1
+    print_ = mix(runs.name + runs.n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + runs.off.astype(np.uint64))
+    for d in method.steps:
+        print_ = mix(print_ ^ words[begin + d]) + words[last + d]
+    order = np.lexsort((first, print_))
+    head = np.maximum.accumulate(np.where(np.append(True, print_[order][1:] != print_[order][:-1]), np.arange(count), 0))
+    model = np.empty(count, np.int64)
+    model[order] = order[head]
+    same = (runs.name == runs.name[model]) & (n == n[model]) & (runs.off == runs.off[model])
+    for k in range(0, int(n.max(initial=0)) + window, window):  # windows end to end, and the last, hold a run whole
+        at = np.minimum(k, n - 1)
+        live = np.flatnonzero(same)
+        same[live] = compare(words, begin[live] + at[live], begin[model[live]] + at[live], method.steps) == 0
+    gone = same & (first > first[model])
+
+    left = np.flatnonzero(~gone)
+    _, which, times = np.unique(runs.name[left], return_inverse=True, return_counts=True)
+    left = left[times[which] > 1]
+    run = np.repeat(left, n[left])
+    k = spread(np.zeros(len(left), np.int64), n[left])
+    tag = mix(runs.name[run] + (runs.off[run] - k).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    root = equal_windows(tag, begin[run] + k, child[run], words, method.steps)
+    place = first[run] + k if method.within_document else first[run]
+    least = np.full(len(run), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, place)
+    repeated = place > least[root]
+    firsts = ~gone
+    firsts[left] = np.bincount(run, ~repeated, minlength=count)[left] > 0
+    hit = np.flatnonzero(repeated)
+    at, size = number_runs(k[hit], run[hit])
+    found = np.concatenate([np.flatnonzero(gone), run[hit[at]]]), np.concatenate([np.zeros(gone.sum(), np.int64), k[hit[at]]]), np.concatenate([n[gone], size])
+    return found, firsts
+
+
+class Docs:
     """The distinct documents of a shard that take part, in order."""
 
-    def __init__(self, left: pa.Table, right: pa.Table, method: Method):
+    def __init__(self, left: pa.Table, right: pa.Table):
         ids, hashes = left.column("ks_id").to_numpy(), left.column("ks_h8").to_numpy()
         copies = right.filter(pa.compute.equal(right.column("kind"), COPY))
-        self.copies = set(zip(copies.column("id").to_pylist(), copies.column("h8").to_pylist(), strict=True))
+        gone = set(zip(copies.column("id").to_pylist(), copies.column("h8").to_pylist(), strict=True))
         order = np.lexsort((hashes, ids))
-        order = [k for j, k in enumerate(order) if (j == 0 or (ids[k], hashes[k]) != (ids[order[j - 1]], hashes[order[j - 1]])) and (int(ids[k]), int(hashes[k])) not in self.copies]
-        bodies = left.column("ks_body")
-        self.ids, self.h8 = ids[order], hashes[order]
-        self.units, self.starts, self.extra = method.units([bodies[int(k)].as_py() for k in order])
-        self.lengths = np.diff(self.starts)
-        self.method = method
-
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first window, windows, name of the anchor) of each run of windows with one anchor."""
-        counts = np.maximum(self.lengths - self.method.window + 1, 0)
-        if not counts.sum():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        numbers, names = self.method.anchors(self.units, self.starts)
-        at = spread(self.starts[:-1], counts)
-        doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        chosen = numbers[at]
-        first, n = number_runs(at, chosen, doc)
-        return at[first], n, names[chosen[first]]
-
-    def doc_of(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, at, "right") - 1
-
-    def find(self, ids: np.ndarray, h8: np.ndarray) -> np.ndarray:
-        k = np.searchsorted(self.ids, ids)
-        while (off := self.h8[k] != h8).any():
-            k = k + off
-        return k
-
-
-def report_anchors(method: Method, buckets: int) -> Callable:
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _rows([])
-        names = np.unique(Shard(left, right, method).runs()[2])
-        return _rows([(key[0].as_py(), b, ANCHORS, None, None, to_blob(names[i])) for b, i in _by_target((names % np.uint64(buckets)).astype(np.int64))])
+        order = [k for j, k in enumerate(order) if (j == 0 or (ids[k], hashes[k]) != (ids[order[j - 1]], hashes[order[j - 1]])) and (int(ids[k]), int(hashes[k])) not in gone]
+        self.ids, self.h8, self.bodies, self.order = ids[order], hashes[order], left.column("ks_body"), order
 
-    return run
+    def texts(self):
+        """Each document's text, one at a time."""
+        return (self.bodies[int(k)].as_py() for k in self.order)
 
 
-def shared_anchors(batches):
-    """Of each bucket's names, those that several shards have, for each of these shards."""
-    names, shards = [], []
-    for batch in batches:
-        for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-            (found,) = from_blob(blob, "<u8")
-            names.append(found)
-            shards.append(np.full(len(found), shard, np.int64))
-    if not names:
-        return
-    names, shards = np.concatenate(names), np.concatenate(shards)
-    order = np.argsort(names, kind="stable")
-    names, shards = names[order], shards[order]
-    twice = np.zeros(len(names), bool)
-    same = names[1:] == names[:-1]
-    twice[1:] |= same
-    twice[:-1] |= same
-    names, shards = names[twice], shards[twice]
-    yield from _rows([(s, None, ANCHORS, None, None, to_blob(names[i])) for s, i in _by_target(shards)]).to_batches()
-
-
-def resolve_shard(method: Method, buckets: int) -> Callable:
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _rows([])
-        shard = Shard(left, right, method)
-        low, n, name = shard.runs()
-        heard = right.filter(pa.compute.equal(right.column("kind"), ANCHORS)).column("blob").to_pylist()
-        elsewhere = np.sort(np.concatenate([from_blob(b, "<u8")[0] for b in heard])) if heard else np.zeros(0, np.uint64)
-        place = np.searchsorted(elsewhere, name)
-        cross = np.zeros(len(name), bool)
-        inside = place < len(elsewhere)
-        cross[inside] = elsewhere[place[inside]] == name[inside]
-        _, which, times = np.unique(name, return_inverse=True, return_counts=True)
-        keep = cross | (times[which] > 1)
-        low, n, name, cross = low[keep], n[keep], name[keep], cross[keep]
-        if not len(low):
-            return _rows([])
-        windows = spread(low, n)
-        run_of = np.repeat(np.arange(len(low)), n)
-        content = method.content(shard.units)
-        classes = method.resolve(content, windows, name[run_of])
-        order = windows if method.within_document else shard.doc_of(windows)
-        first = np.full(int(classes.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, classes, order)
-        repeated = order > first[classes]
-        out = []
-        at = windows[repeated]
-        doc = shard.doc_of(at)
-        head, size = number_runs(at, doc)
-        if len(head):
-            d = doc[head]
-            out.append((key[0].as_py(), int(key[0].as_py()) % buckets, MARKS, None, None, to_blob(shard.ids[d], shard.h8[d], at[head] - shard.starts[d], size.astype(np.int64))))
-        send = cross & (np.bincount(run_of, ~repeated, minlength=len(low)) > 0)
-        low, n, name = low[send], n[send], name[send]
-        doc = shard.doc_of(low)
-        for b, i in _by_target((name % np.uint64(buckets)).astype(np.int64)):
-            d = doc[i]
-            out.append((key[0].as_py(), b, RUNS, None, None, to_blob(name[i], shard.ids[d], shard.h8[d], low[i] - shard.starts[d], n[i].astype(np.int32), content[spread(low[i], method.carried(n[i]))])))
-        return _rows(out)
+def mark_rows(runs_shard: np.ndarray, ids: np.ndarray, h8: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[tuple]:
+    return [(s, None, MARKS, None, None, to_blob(*(x[i].astype(np.int64) for x in (ids, h8, start, n)))) for s, i in by_target(runs_shard)]
+
+
+def run_rows(tree: Tree, runs: Runs, child: int, level: int, window: int) -> list[tuple]:
+    """Rows that send runs to the nodes of a level."""
+    targets = tree.nodes(level, runs.shard, mix(runs.name + np.uint64(0x9E3779B97F4A7C15)))
+    return [(target, child, RUNS, None, None, runs.pick(at, window).pack()) for target, at in by_target(targets)]
 
-    return run
 
+def merged_rows(tree: Tree, method: Method, runs: Runs, child: np.ndarray, sender: int, level: int) -> list[tuple]:
+    """What a shard (level 0) or node makes of its children's runs: marks, and the runs that go up."""
+    (run, k, n), firsts = merge_runs(method, runs, child)
+    out = mark_rows(runs.shard[run], runs.id[run], runs.h8[run], runs.low[run] + k, n)
+    up = np.flatnonzero(firsts & (runs.level > level))
+    return out + run_rows(tree, runs.pick(up, method.window), sender, level + 1, method.window) if len(up) else out
 
-def merge_shards(method: Method) -> Callable:
-    def run(batches):
-        parts, shards = [], []
-        for batch in batches:
-            for shard, kind, blob in zip(batch.column("shard").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                if kind == MARKS:
-                    yield from _rows([(shard, None, MARKS, None, None, blob)]).to_batches()
-                else:
-                    parts.append(from_blob(blob, *RUN_KINDS, method.payload))
-                    shards.append(np.full(len(parts[-1][0]), shard, np.int64))
-        if not parts:
-            return
-        name, ids, h8, low, n, payload = (np.concatenate(x) for x in zip(*parts, strict=True))
-        shard = np.concatenate(shards)
-        n = n.astype(np.int64)
-        size = method.carried(n)
-        at = spread(np.cumsum(size) - size, n)
-        run_of = np.repeat(np.arange(len(n)), n)
-        classes = method.merge(payload, at, name[run_of], shard[run_of])
-        by_doc = np.lexsort((h8, ids))
-        fresh = np.ones(len(ids), np.int64)
-        fresh[1:] = (ids[by_doc][1:] != ids[by_doc][:-1]) | (h8[by_doc][1:] != h8[by_doc][:-1])
-        rank = np.empty(len(ids), np.int64)
-        rank[by_doc] = np.cumsum(fresh)
-        start = spread(low, n)
-        order = rank[run_of] << 32 | start if method.within_document else rank[run_of]
-        first = np.full(int(classes.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, classes, order)
-        repeated = np.flatnonzero(order > first[classes])
-        head, size = number_runs(repeated, run_of[repeated])
-        r = run_of[repeated[head]]
-        begin = start[repeated[head]]
-        yield from _rows([(s, None, MARKS, None, None, to_blob(ids[r[i]], h8[r[i]], begin[i], size[i].astype(np.int64))) for s, i in _by_target(shard[r])]).to_batches()
+
+def merge_node(tree: Tree, method: Method, level: int) -> Callable:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        target = key[0].as_py()
+        if target >= 0:
+            return info_rows([])
+        parts = [Runs(*from_blob(b, *RUN_KINDS, method.payload)) for _, b in blobs(table, RUNS)]
+        child = np.repeat(np.arange(len(parts)), [len(p.n) for p in parts])
+        return info_rows(merged_rows(tree, method, Runs.joined(parts), child, target, level))
 
     return run
 
 
+def only_marks(batches):
+    for batch in batches:
+        some = batch.filter(pa.compute.equal(batch.column("kind"), MARKS))
+        if some.num_rows:
+            yield some
+
+
+def merge_tree(rows: DataFrame, method: Method, tree: Tree) -> DataFrame:
+    """All marks for the shards; ``rows``, dealt by target, have the shards' own marks and their runs."""
+    marks = rows.mapInArrow(only_marks, INFO)
+    for level in range(1, tree.depth + 1):
+        rows = rows.groupBy("target").applyInArrow(merge_node(tree, method, level), INFO)
+        if level < tree.depth:
+            rows = rows.repartition(tree.parts, "target")
+        marks = marks.union(rows.mapInArrow(only_marks, INFO))
+    return marks
+
+
 class Removal:
-    """The marks of a shard's documents: which units of each are repeated."""
+    """What is repeated in a shard's documents: merged intervals of units; all of a copy."""
+
+    def __init__(self, method: Method, right: pa.Table):
+        self.window = method.window
+        copies = right.filter(pa.compute.equal(right.column("kind"), COPY))
+        self.copies = set(zip(copies.column("id").to_pylist(), copies.column("h8").to_pylist(), strict=True))
+        found = [from_blob(b, *MARK_KINDS) for b in right.filter(pa.compute.equal(right.column("kind"), MARKS)).column("blob").to_pylist()]
+        self.spans: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        if found:
+            ids, h8, start, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((start, h8, ids))
+            ids, h8, start, end = ids[order], h8[order], start[order], (start + n + self.window - 1)[order]
+            doc = np.cumsum(np.append(False, (ids[1:] != ids[:-1]) | (h8[1:] != h8[:-1])))
+            reach = np.maximum.accumulate(end + (doc << 40)) - (doc << 40)
+            fresh = np.ones(len(ids), bool)
+            fresh[1:] = (doc[1:] != doc[:-1]) | (start[1:] > reach[:-1])
+            first = np.flatnonzero(fresh)
+            last = np.append(first[1:], len(ids)) - 1
+            heads = np.flatnonzero(np.append(True, np.diff(doc[first]) != 0))
+            for a, b in zip(heads, np.append(heads[1:], len(first)), strict=True):
+                self.spans[int(ids[first[a]]), int(h8[first[a]])] = start[first[a:b]], reach[last[a:b]]
+
+    def of(self, doc_id: int, h8: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Begins and ends of what goes from a document of ``size`` units."""
+        if (doc_id, h8) in self.copies:
+            return (np.zeros(1, np.int64), np.full(1, size)) if size >= self.window else NOTHING
+        return self.spans.get((doc_id, h8), NOTHING)
+
+
+NOTHING = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def __init__(self, left: pa.Table, right: pa.Table, method: Method):
-        self.shard = shard = Shard(left, right, method)
-        edge = np.zeros(len(shard.units) + 1, np.int64)
-        for blob in right.filter(pa.compute.equal(right.column("kind"), MARKS)).column("blob").to_pylist():
-            ids, h8, start, n = from_blob(blob, *MARK_KINDS)
-            begin = shard.starts[shard.find(ids, h8)] + start
-            np.add.at(edge, begin, 1)
-            np.add.at(edge, begin + n - 1 + method.window, -1)
-        self.removed = np.cumsum(edge[:-1]) > 0
-        self.number = {k: d for d, k in enumerate(zip(shard.ids.tolist(), shard.h8.tolist(), strict=True))}
 
-    def of(self, doc_id: int, h8: int) -> np.ndarray | None:
-        """The flags of a document's units; None for a copy of an earlier document."""
-        d = self.number.get((doc_id, h8))
-        return None if d is None else self.removed[self.shard.starts[d] : self.shard.starts[d + 1]]
+def null_or(doc_id: int, h8: int) -> int | None:
+    """The id of a row."""
+    return None if doc_id == NULL_ID and h8 < 0 else doc_id
 
 
-def remove_repeats(docs: DataFrame, method: Method, apply: Callable[[Removal, pa.Table], pa.Table], schema, carry: list[Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``apply`` of every shard: its removals and its rows (ks_id, ks_h8, ks_body, ks_shard and ``carry``).
+class Dealt(NamedTuple):
+    """The texts in their shards, their copies, and the tree over the shards."""
 
-    The exchange holds each text once, and of the other columns only what ``carry`` asks for.
+    texts: DataFrame  #: ks_shard, ks_id, ks_h8, ks_body and what is carried; dealt by shard
+    copies: DataFrame  #: rows of kind COPY
+    tree: Tree
+
+    def step(self, fn: Callable, rows: DataFrame | None = None, schema=INFO) -> DataFrame:
+        """``fn`` of each shard: its texts, and its copies and other rows."""
+        told = self.copies if rows is None else self.copies.union(rows)
+        return self.texts.groupBy("ks_shard").cogroup(told.groupBy("target")).applyInArrow(fn, schema)
+
+
+def deal(docs: DataFrame, carry: list[Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> Dealt:
+    """The exchange holds each text once, and of the other columns only what ``carry`` asks for.
+
+    A null id travels as the least bigint with a negative hash; a real one of that value has another.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    total = docs.agg(F.sum(F.length(body))).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
+    row = docs.agg(F.sum(F.length(body)).alias("size"), F.count("*").alias("n")).first()
+    shards = max(1, -(-(row["size"] or 0) // SHARD_BYTES))
     parts = min(MAX_PARTITIONS, max(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    doc_id = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID))
-    shard = F.pmod(F.xxhash64(doc_id), F.lit(shards)).cast("int")
-    marked = docs.select(doc_id.alias("ks_id"), body.alias("ks_body"), F.xxhash64(body).alias("ks_h8"), shard.alias("ks_shard"))
-    dealt = docs.select(doc_id.alias("ks_id"), body.alias("ks_body"), F.xxhash64(body).alias("ks_h8"), shard.alias("ks_shard"), *(carry or [])).repartition(parts, "ks_shard")
-
-    keys = marked.select("ks_shard", "ks_id", "ks_h8", F.substring(F.unhex(F.sha2("ks_body", 256)), 1, 16).alias("ks_key"))
-    firsts = keys.groupBy("ks_key").agg(F.min("ks_id").alias("ks_first"), F.count("*").alias("ks_n")).where("ks_n > 1").drop("ks_n")
+    key, h = F.col(id_col).cast("bigint"), F.xxhash64(body)
+    h8 = F.when(key.isNull(), h.bitwiseOR(F.lit(SIGN))).when(key == NULL_ID, h.bitwiseAND(F.lit(~SIGN))).otherwise(h)
+    doc_id = F.coalesce(key, F.lit(NULL_ID))
+    named = [doc_id.alias("ks_id"), body.alias("ks_body"), h8.alias("ks_h8"), F.pmod(F.xxhash64(doc_id, h8), F.lit(shards)).cast("bigint").alias("ks_shard")]
+    dealt = docs.select(*named, *(carry or [])).repartition(parts, "ks_shard")
+
+    keys = docs.select(*named).select("ks_shard", "ks_id", "ks_h8", F.substring(F.unhex(F.sha2("ks_body", 256)), 1, 16).alias("ks_key"))
+    groups = keys.groupBy("ks_key").agg(F.min(F.struct("ks_id", "ks_h8")).alias("ks_first"), F.count("*").alias("ks_n")).where("ks_n > 1")
+    # A group of copies may be a third of all rows.  Those over `hot` rows, HOT_GROUPS at most, meet their first in several tasks.
+    hot = max(100, row["n"] // HOT_GROUPS)
+    salts = (F.col("ks_n") / hot).cast("int") + 1
+    # (That a first isn't null is asked so that both uses of the groups need the same columns, and share one exchange.)
+    few = F.broadcast(groups.where((F.col("ks_n") > hot) & F.col("ks_first").isNotNull()).select("ks_key", salts.alias("ks_salts")))
+    salted = keys.join(few, "ks_key", "left").withColumn("ks_salt", F.pmod(F.xxhash64("ks_id", F.lit("salt")), F.coalesce("ks_salts", F.lit(1))).cast("int"))
+    firsts = groups.select("ks_key", "ks_first", F.explode(F.sequence(F.lit(0), F.when(F.col("ks_n") > hot, salts - 1).otherwise(0))).alias("ks_salt"))
     nothing = lambda kind: F.lit(None).cast(kind)
-    # A group of copies may be a third of all rows: its rows meet the one row of its first in SALTS tasks.
-    salted = keys.withColumn("ks_salt", F.pmod(F.xxhash64("ks_id", F.lit("salt")), F.lit(SALTS)).cast("int"))
-    firsts = firsts.withColumn("ks_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    copies = salted.join(firsts, ["ks_key", "ks_salt"]).where("ks_id > ks_first").select(F.col("ks_shard").alias("shard"), nothing("int").alias("bucket"), F.lit(COPY).cast("tinyint").alias("kind"), F.col("ks_id").alias("id"), F.col("ks_h8").alias("h8"), nothing("binary").alias("blob"))
+    later = salted.join(firsts, ["ks_key", "ks_salt"]).where(F.struct("ks_id", "ks_h8") > F.col("ks_first"))
+    copies = later.select(F.col("ks_shard").alias("target"), nothing("bigint").alias("child"), F.lit(COPY).cast("tinyint").alias("kind"), F.col("ks_id").alias("id"), F.col("ks_h8").alias("h8"), nothing("binary").alias("blob"))
+    return Dealt(dealt, copies, Tree.over(shards, parts))
+
 
-    texts = dealt.groupBy("ks_shard")
-    reported = texts.cogroup(copies.groupBy("shard")).applyInArrow(report_anchors(method, parts), INFO)
-    shared = reported.repartition(parts, "bucket").mapInArrow(shared_anchors, INFO)
-    resolved = texts.cogroup(copies.union(shared).groupBy("shard")).applyInArrow(resolve_shard(method, parts), INFO)
-    marks = resolved.repartition(parts, "bucket").mapInArrow(merge_shards(method), INFO)
+def finish(dealt: Dealt, method: Method, marks: DataFrame, apply: Callable[[Removal, pa.Table], pa.Table], schema) -> DataFrame:
+    """``apply`` of every shard: its removals and its rows (ks_id, ks_h8, ks_body, ks_shard and what is carried)."""
 
-    def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        return apply(Removal(left, right, method) if left.num_rows else None, left)
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        return apply(Removal(method, right), left)
 
-    return texts.cogroup(copies.union(marks).groupBy("shard")).applyInArrow(finish, schema)
+    return dealt.step(run, marks, schema)

@@ -6,8 +6,8 @@ suffixes are sorted by Larsson-Sadakane refinement in numpy: first by 8 bytes, t
 undecided by the rank of the suffix 8, 16, 32, 64 bytes on.  Common prefixes of neighbours come from
 Kasai's theorem: along the text a common prefix shrinks by one a step as long as the neighbour moves along,
 so only the first of each such stretch is compared.  Suffixes with 100 bytes in common are one class.
-Shards' windows merge by binary search in the sorted table of all windows of a bucket, and every window
-found there is compared byte by byte with the one it is said to equal.
+Shards merge in a tree: one shard's sorted suffixes (those whose anchor both have) are looked up in another's
+by binary search that compares their bytes.
 
 Defined results: null and empty texts have no bytes (kept_sha256 of nothing); texts under 100 bytes keep
 all; all of a copy of an earlier document goes; repeated rows (equal id and text) get equal results;
@@ -17,16 +17,21 @@ rows with equal id and different texts are ordered by a hash of the text; null i
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .repeats import NULL_ID, Removal, mix, number_runs, spread
+from .repeats import Docs, Removal, Runs, mark_rows, merged_rows, null_or, number_runs, run_rows, spread
+from .tree import Numbers, Shared, Tree, info_rows, mix
 
 LENGTH, GRAM = 100, 24
+#: Bytes of text that are sorted at once.
+BLOCK = 4 << 20
 
 
 def words8(data: np.ndarray, kind: str = "<u8") -> np.ndarray:
@@ -127,20 +132,49 @@ def common_prefixes(data: np.ndarray, array: np.ndarray, limit: int) -> np.ndarr
     return np.minimum(along, limit)[array]
 
 
+class Block(NamedTuple):
+    """Texts, or parts of long ones, end to end."""
+
+    units: np.ndarray
+    starts: np.ndarray  #: where each begins, and the end
+    doc: np.ndarray  #: number of its document in the shard
+    offset: np.ndarray  #: its place in its document
+
+    @classmethod
+    def of(cls, parts: list[tuple[int, int, bytes]]) -> Block:
+        starts = np.concatenate([[0], np.cumsum([len(p[2]) for p in parts])]).astype(np.int64)
+        return cls(np.frombuffer(b"".join(p[2] for p in parts), np.uint8), starts, np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.int64))
+
+
+def blocks_of(docs: Docs, window: int, block: int):
+    """Blocks of the texts that have windows; parts of a text overlap, so that each window is in one of them."""
+    held, size = [], 0
+    for d, text in enumerate(docs.texts()):
+        for at in range(0, len(text) - window + 1, block):
+            part = text[at : at + block + window - 1]
+            if held and size + len(part) > block:
+                yield Block.of(held)
+                held, size = [], 0
+            held.append((d, at, part))
+            size += len(part)
+    if held:
+        yield Block.of(held)
+
+
 class Bytes:
     """The byte method for ``repeats``."""
 
     within_document, payload = True, "u1"
 
     def __init__(self, length: int = LENGTH, gram: int = GRAM):
-        self.window, self.gram = length, gram
+        self.window, self.gram, self.block = length, gram, BLOCK
+        self.steps = [*range(0, length - 8, 8), length - 8]
 
-    def units(self, texts):
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        return data, starts, None
+    def words(self, payload: np.ndarray) -> np.ndarray:
+        return words8(payload, ">u8").astype(np.uint64)
 
-    def anchors(self, units, starts):
+    def anchors(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each position: the place of the anchor that its window selects; hashes by place."""
         hashes = gram_hashes(units)
         n, width = len(units), self.window - self.gram + 1
         least = hashes & np.uint64(0xFFFFFFFF00000000)
@@ -153,17 +187,24 @@ class Bytes:
             least[: n - rest] = np.minimum(least[: n - rest], least[rest:])
         return (least & np.uint64(0xFFFFFFFF)).astype(np.int64), hashes
 
-    def content(self, units):
-        return units
-
-    def resolve(self, content, windows, names):
-        # Passages: stretches of bytes that candidate windows cover, end to end, in the order of the text.
+    def runs(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first window, windows, name and place of the anchor) of each run of windows with one anchor."""
+        counts = np.diff(block.starts) - self.window + 1
+        places, names = self.anchors(block.units)
+        at = spread(block.starts[:-1], counts)
+        chosen = places[at]
+        first, n = number_runs(at, chosen, np.repeat(np.arange(len(counts), dtype=np.int32), counts))
+        return at[first], n, names[chosen[first]], chosen[first]
+
+    def classes(self, units: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """Numbers from 0 of equal windows, given their starts, ascending."""
+        # Passages: stretches of bytes that the windows cover, end to end, in the order of the text.
         head, n = number_runs(windows)
         begin, end = windows[head], windows[head] + n - 1 + self.window
         near = np.flatnonzero(begin[1:] > end[:-1]) + 1
         begin, end = begin[np.concatenate([[0], near])], end[np.concatenate([near - 1, [len(end) - 1]])]
         size = end - begin
-        passages = content[spread(begin, size)]
+        passages = units[spread(begin, size)]
         k = np.searchsorted(begin, windows, "right") - 1
         local = windows - begin[k] + (np.cumsum(size) - size)[k]
         depth = 8
@@ -173,53 +214,95 @@ class Bytes:
         common = common_prefixes(passages, array, self.window)
         classes = np.empty(len(passages), np.int64)
         classes[array] = np.cumsum(common < self.window)
-        found = classes[local]
-        return np.unique(found, return_inverse=True)[1]
-
-    def carried(self, n):
-        return n + self.window - 1
-
-    def merge(self, payload, at, names, shards):
-        steps = [*range(0, self.window - 8, 8), self.window - 8]
-        w = words8(payload)
-        prints = names.copy()
-        for d in steps:
-            prints = (prints ^ w[at + d]) * np.uint64(0x9E3779B97F4A7C15)
-            prints ^= prints >> np.uint64(32)
-        table, sample = np.unique(prints, return_index=True)
-        classes = np.empty(len(prints), np.int64)
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(shards)) + 1, [len(shards)]])
-        for a, b in zip(edges[:-1], edges[1:], strict=True):  # each shard's windows
-            classes[a:b] = np.searchsorted(table, prints[a:b])
-        model = at[sample[classes]]
-        off = np.zeros(len(at), bool)
-        for d in steps:
-            off |= w[at + d] != w[model + d]
-        if off.any():  # windows that only share a hash with the model
-            extra: dict[tuple[int, bytes], int] = {}
-            for k in np.flatnonzero(off):
-                classes[k] = extra.setdefault((int(classes[k]), payload[at[k] : at[k] + self.window].tobytes()), len(table) + len(extra))
-        return classes
-
-    def kept(self, extra, d, removed):
-        raise NotImplementedError  # callers slice the units
+        return np.unique(classes[local], return_inverse=True)[1]
+
+
+def report_anchors(tree: Tree, method: Bytes) -> Callable:
+    """A shard's distinct anchors, for the nodes."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return info_rows([])
+        shard = key[0].as_py()
+        names = [np.unique(method.runs(b)[2]) for b in blocks_of(Docs(left, right), method.window, method.block)]
+        if not names:
+            return info_rows([])
+        keys = np.unique(np.concatenate(names))[:, None]
+        return info_rows(tree.ask(Numbers(), keys, np.zeros(len(keys), bool), shard, shard))
+
+    return run
+
+
+def resolve_shard(tree: Tree, method: Bytes) -> Callable:
+    """A shard's marks, and the runs that other shards may have too."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return info_rows([])
+        shard, docs = key[0].as_py(), Docs(left, right)
+        found = [(b, *method.runs(b)) for b in blocks_of(docs, method.window, method.block)]
+        if not found:
+            return info_rows([])
+        keys, blocks = np.unique(np.concatenate([np.unique(f[3]) for f in found]), return_counts=True)
+        levels = tree.answers(Numbers(), keys[:, None], right, shard)
+        out, sent, child = [], [], []
+        for k, (block, low, n, name, place) in enumerate(found):
+            known = np.searchsorted(keys, name)
+            level, elsewhere = levels[known], (levels[known] > 0) | (blocks[known] > 1)
+            _, which, times = np.unique(name, return_inverse=True, return_counts=True)
+            keep = elsewhere | (times[which] > 1)
+            low, n, name, place, level, elsewhere = (x[keep] for x in (low, n, name, place, level, elsewhere))
+            if not len(low):
+                continue
+            windows, run_of = spread(low, n), np.repeat(np.arange(len(low)), n)
+            classes = method.classes(block.units, windows)
+            first = np.full(int(classes.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(first, classes, windows)
+            repeated = windows > first[classes]
+            part = lambda at: np.searchsorted(block.starts, at, "right") - 1  # noqa: B023, E731
+            at = windows[repeated]
+            head, size = number_runs(at, part(at))
+            p = part(at[head])
+            out += mark_rows(np.full(len(head), shard), docs.ids[block.doc[p]], docs.h8[block.doc[p]], at[head] - block.starts[p] + block.offset[p], size)
+            send = elsewhere & (np.bincount(run_of, ~repeated, minlength=len(low)) > 0)
+            low, n, name, place, level = (x[send] for x in (low, n, name, place, level))
+            if len(low):
+                p = part(low)
+                sent.append(Runs(name, level, np.full(len(low), shard), docs.ids[block.doc[p]], docs.h8[block.doc[p]], low - block.starts[p] + block.offset[p], (place - low).astype(np.int16), n.astype(np.int32), block.units[spread(low, n + method.window - 1)]))
+                child.append(np.full(len(low), k))
+        if len(sent) > 1:
+            out += merged_rows(tree, method, Runs.joined(sent), np.concatenate(child), shard, 0)
+        elif sent:
+            out += run_rows(tree, sent[0].pick(np.flatnonzero(sent[0].level > 0), method.window), shard, 1, method.window)
+        return info_rows(out)
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, method: Bytes, apply: Callable[[Removal, pa.Table], pa.Table], schema, carry: list[Column] | None = None) -> DataFrame:
+    dealt = repeats.deal(docs, carry)
+    tree = dealt.tree
+    asked = dealt.step(report_anchors(tree, method)).repartition(tree.parts, "target")
+    resolved = dealt.step(resolve_shard(tree, method), tree.agree(asked, Numbers(), Shared())).repartition(tree.parts, "target")
+    return repeats.finish(dealt, method, repeats.merge_tree(resolved, method, tree), apply, schema)
 
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-NOTHING = hashlib.sha256(b"").hexdigest()
 
 
-def _digest(removal: Removal | None, rows: pa.Table) -> pa.Table:
+def kept_parts(body: bytes, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """What is left of a text."""
+    return [body[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(body)], strict=True) if b > a]
+
+
+def _digest(removal: Removal, rows: pa.Table) -> pa.Table:
     out = []
     for doc_id, h8, body in zip(*(rows.column(c).to_pylist() for c in ("ks_id", "ks_h8", "ks_body")), strict=True):
-        flags, key = removal.of(doc_id, h8), None if doc_id == NULL_ID else doc_id
-        if flags is None:
-            whole = len(body) >= removal.shard.method.window
-            out.append((key, len(body), len(body) * whole, int(whole), NOTHING if whole else hashlib.sha256(body).hexdigest()))
-        else:
-            spans = int(flags[0]) + int((flags[1:] & ~flags[:-1]).sum()) if len(flags) else 0
-            left = np.frombuffer(body, np.uint8)[~flags].tobytes()
-            out.append((key, len(body), len(body) - len(left), spans, hashlib.sha256(left).hexdigest()))
+        begin, end = removal.of(doc_id, h8, len(body))
+        left = hashlib.sha256()
+        for part in kept_parts(body, begin, end):
+            left.update(part)
+        out.append((null_or(doc_id, h8), len(body), int((end - begin).sum()), len(begin), left.hexdigest()))
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
     cols = list(zip(*out, strict=True)) or [()] * 5
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
@@ -227,13 +310,26 @@ def _digest(removal: Removal | None, rows: pa.Table) -> pa.Table:
 
 def dedup_digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per document: its bytes, removed bytes, maximal removed runs, and the hash of the bytes left."""
-    return repeats.remove_repeats(docs.select("doc_id", "text"), Bytes(length, gram), _digest, SCHEMA)
+    return remove_repeats(docs.select("doc_id", "text"), Bytes(length, gram), _digest, SCHEMA)
+
+
+def whole_characters(body: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The intervals without characters that are only in part inside them."""
+
+    def start(at: int, step: int) -> int:
+        while 0 < at < len(body) and body[at] & 0xC0 == 0x80:
+            at += step
+        return at
+
+    begin, end = np.array([start(a, 1) for a in begin.tolist()], np.int64), np.array([start(b, -1) for b in end.tolist()], np.int64)
+    return begin[begin < end], end[begin < end]
 
 
 def keep_first(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """All rows and columns, the text without repeated bytes; ``n_chars``, if there, is the new text's.
 
-    A character goes only if all of its bytes do, so texts stay valid UTF-8.
+    A character goes only if all of its bytes do, so texts stay valid UTF-8.  Null texts stay null, empty ones
+    empty; copies of earlier documents get an empty text if they have ``length`` bytes, else keep theirs.
     """
     names = docs.columns
     others = [c for c in names if c not in ("text", "n_chars")]
@@ -241,20 +337,16 @@ def keep_first(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataF
     rest = F.struct(F.lit(0), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others))).alias("ks_rest")
     missing = F.col("text").isNull().alias("ks_missing")
 
-    def rewrite(removal: Removal | None, rows: pa.Table) -> pa.Table:
+    def rewrite(removal: Removal, rows: pa.Table) -> pa.Table:
         texts = []
         for doc_id, h8, body, gone in zip(*(rows.column(c).to_pylist() for c in ("ks_id", "ks_h8", "ks_body", "ks_missing")), strict=True):
-            data, flags = np.frombuffer(body, np.uint8), removal.of(doc_id, h8)
-            if flags is None:
-                flags = np.full(len(data), len(data) >= length)
-            if flags.any():
-                first = np.flatnonzero((data & 0xC0) != 0x80)
-                flags = np.repeat(np.minimum.reduceat(flags, first), np.diff(np.append(first, len(data))))
-            texts.append(None if gone else data[~flags].tobytes().decode())
+            spans = removal.of(doc_id, h8, len(body))
+            left = b"".join(kept_parts(body, *whole_characters(body, *spans))) if len(spans[0]) else body
+            texts.append(None if gone else left.decode())
         return pa.Table.from_arrays([rows.column("ks_rest"), pa.array(texts, pa.string())], names=["ks_rest", "text"])
 
     shape = docs.select(rest, "text").schema
-    out = repeats.remove_repeats(docs, Bytes(length, gram), rewrite, shape, [rest, missing])
+    out = remove_repeats(docs, Bytes(length, gram), rewrite, shape, [rest, missing])
     back = {c: F.col("ks_rest").getField(f"c{k}").alias(c) for k, c in enumerate(others)}
     back |= {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in names else {})
     return out.select(*(back[c] for c in names))

@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 import xxhash
 
-from keystrata.llm import recompression, repeats, simhash, suffix_dedup
+from keystrata.llm import recompression, repeats, simhash, suffix_dedup, tree
 from keystrata.llm.components import connected_components
 
 CLASH = "ks_id string, doc_id bigint, text string, fp string, ks_body string, component_id int, n_chars int"
@@ -45,9 +46,14 @@ def bytes_left(rows, size=100):
     return out
 
 
-@pytest.fixture(params=[700, 4 << 20])
+@pytest.fixture(params=[(24000, 2, 300), (4 << 20, 256, 4 << 20)])
 def shards(request, monkeypatch):
-    monkeypatch.setattr(repeats, "SHARD_BYTES", request.param)
+    """Shards of a few documents in a tree of several levels and texts in blocks; and all in one."""
+    size, fan, block = request.param
+    monkeypatch.setattr(repeats, "SHARD_BYTES", size)
+    monkeypatch.setattr(tree, "FAN", fan)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    monkeypatch.setattr(recompression, "BLOCK", block)
 
 
 @pytest.mark.parametrize("seed,words", [(1, ["a", "b", "é"]), (2, [f"wörd{i}" for i in range(50)])])
@@ -107,12 +113,50 @@ def test_suffix_array_and_common_prefixes():
                 assert common[k] == m
 
 
-def test_merge_tells_hash_collisions_apart(monkeypatch):
-    method = suffix_dedup.Bytes(16, 8)
-    payload = np.frombuffer(b"abcdefghijklmnop" * 2 + b"ABCDEFGHIJKLMNOP" * 2, np.uint8)
-    monkeypatch.setattr(np, "searchsorted", lambda table, x: np.zeros(len(x), np.int64))
-    classes = method.merge(payload, np.array([0, 16, 32, 48]), np.zeros(4, np.uint64), np.array([0, 1, 1, 2]))
-    assert classes[0] == classes[1] and classes[2] == classes[3] and classes[0] != classes[2]
+def some_runs(method, texts, names, ids):
+    """One run for each text, all windows of it; its anchor at its first unit."""
+    n = np.array([len(t) - method.window + 1 for t in texts])
+    ids, zeros = np.array(ids), np.zeros(len(texts), np.int64)
+    return repeats.Runs(np.array(names, np.uint64), zeros.astype(np.uint64), zeros, ids, zeros, zeros, zeros.astype(np.int16), n.astype(np.int32), np.concatenate(texts))
+
+
+@pytest.mark.parametrize("method,unit", [(suffix_dedup.Bytes(16, 8), np.uint8), (recompression.Words(5), np.uint64)])
+def test_merge_compares_contents(monkeypatch, method, unit):
+    """Runs of one anchor are told apart by their units, also if every hash collides."""
+    monkeypatch.setattr(repeats, "mix", lambda a: np.zeros(len(a), np.uint64))
+    rng, window = np.random.default_rng(4), method.window
+    texts = [rng.integers(1, 3, window + rng.integers(0, 3)).astype(unit) for _ in range(60)]
+    texts += [texts[k].copy() for k in (0, 5, 5, 59)] + [np.append(texts[3], texts[4][:1])]
+    for children in (1, 3, 9):
+        runs = some_runs(method, texts, np.arange(len(texts)) % 2, list(range(len(texts))))
+        (run, k, n), firsts = repeats.merge_runs(method, runs, np.sort(np.arange(len(texts)) % children))
+        got = {(int(r), int(j)) for r, a, m in zip(run, k, n, strict=True) for j in range(a, a + m)}
+        seen, wanted = {}, set()
+        for r, t in enumerate(texts):
+            for j in range(len(t) - window + 1):
+                key = t[j : j + window].tobytes()
+                if seen.setdefault(key, (r, j))[0] != r or (method.within_document and seen[key] != (r, j)):
+                    wanted.add((r, j))
+        assert got == wanted
+        assert all(f == any((r, j) not in wanted for j in range(runs.n[r])) for r, f in enumerate(firsts))
+
+
+def test_a_node_never_gets_more_than_a_row_a_child(spark):
+    """One anchor in every shard: no node of the tree has more rows than its fan, and the answers are right."""
+    shape, codec = tree.Tree.over(30, 4, fan=3), tree.Numbers()
+    assert shape.depth == 4
+    keys = {s: np.array([7, 1000 + s // 2, 5000 + s], np.uint64)[:, None] for s in range(30)}
+    rows = [r for s in keys for r in shape.ask(codec, keys[s], np.zeros(3, bool), s, s)]
+    sent = spark.createDataFrame(rows, tree.INFO).repartition(4, "target")
+    assert sent.groupBy("target").count().agg({"count": "max"}).first()[0] <= 3
+    for rule in (tree.Shared(), tree.Naming(2)):
+        told = shape.agree(sent, codec, rule).toArrow()
+        got = {s: shape.answers(codec, keys[s], told.filter(pc.equal(told.column("target"), s)), s).tolist() for s in keys}
+        if isinstance(rule, tree.Shared):
+            assert all(g[0] == 4 and g[2] == 0 and g[1] == (1 if s % 2 == 0 and s % 3 < 2 or s % 2 and s % 3 else g[1]) >= 1 for s, g in got.items())
+        else:
+            names = {g[0] for g in got.values()} | {g[1] for g in got.values()}
+            assert len(names) == 16 and 0 not in names and all(g[2] == 0 for g in got.values())
 
 
 def words_left(rows, size=13):
@@ -146,17 +190,34 @@ def test_recompression_equals_brute_force(spark, shards, seed, words):
     assert recompression.dedup_digest(frame(spark, rows).where("false")).count() == 0
 
 
-def test_equal_windows_select_equal_symbols():
+def test_ids_that_look_like_null(spark):
+    """The least bigint is an id of its own, after null ids."""
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(repeats.NULL_ID, text), (None, text), (repeats.NULL_ID, text[1:])]
+    for op in (suffix_dedup, recompression):
+        got = sorted((str(r.doc_id), r.n_removed > 0) for r in op.dedup_digest(frame(spark, rows)).collect())
+        assert got == [(str(repeats.NULL_ID), True), (str(repeats.NULL_ID), True), ("None", False)]
+
+
+def test_equal_windows_keep_equal_symbols():
+    """The symbols that depend on nothing outside a window are the same wherever it stands."""
     rng = np.random.default_rng(5)
-    method = recompression.Words()
+    method, names = recompression.Words(), {}
     for letters in (1, 2, 5, 1000):
         window = rng.integers(1, letters + 1, 13).astype(np.uint64)
         chosen = set()
         for _ in range(20):
             a, b = (rng.integers(1, letters + 1, rng.integers(0, 30)).astype(np.uint64) for _ in range(2))
             units = np.concatenate([a, window, b, a])
-            numbers, names = method.anchors(units, np.array([0, len(units) - len(a), len(units)]))
-            chosen.add(int(names[numbers[len(a)]]))
+            lengths = np.array([len(units) - len(a), len(a)])
+            state = recompression.first_state(*(np.arange(2),) * 3, lengths, units)
+            for level in range(1, method.rounds + 1):
+                step = recompression.rewrite(state, level)
+                new = np.array([names.setdefault((level, *k), len(names) + 2000) for k in step.keys.tolist()], np.uint64)
+                state = recompression.named(state, step, new, level)
+            runs = method.runs(state, 0, 1)
+            k = np.flatnonzero((runs.id == 0) & (runs.low <= len(a)) & (runs.low + runs.n > len(a)))[0]
+            chosen.add((int(runs.name[k]), int(runs.off[k] - (len(a) - runs.low[k]))))
         assert len(chosen) == 1
 
 
