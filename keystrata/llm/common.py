@@ -7,7 +7,6 @@ clashing columns of the caller never matter), and returns its own columns.  Pyth
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,11 +20,11 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a fresh one where it is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or where it is unset one in the warehouse."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="keystrata-shared-")
+        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/keystrata-shared"
         spark.conf.set("spark.checkpoint.dir", where)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
@@ -37,6 +36,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def bucketed(df: DataFrame, column: str, parts: int, where: str) -> DataFrame:
+    """The rows written to ``where`` in buckets, so that grouping them by ``column`` needs no exchange."""
+    spark, name = df.sparkSession, f"keystrata_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", where).bucketBy(parts, column).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolves the table while the catalog has it; its files stay  # noqa: B018
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import repeats
+from .common import bucketed, delete_path, shared_path
 from .learning import _Codes
 from .repeats import Docs, Removal, Runs, merged_rows, null_or, number_runs, spread
 from .tree import INFO, STATE, Naming, Numbers, Tree, blobs, distinct_rows, from_blob, info_rows, mix, to_blob
@@ -285,11 +286,18 @@ def report_words(tree: Tree) -> Callable:
     return run
 
 
-def asked(tree: Tree, method: Words, states: list[State], level: int, shard: int) -> list[tuple]:
-    """Rows of a shard's states, and of its next round's keys for the nodes."""
-    keys, times = round_keys(states, level)
-    rows = [(shard, b, STATE, None, None, pack(s, method.window)) for b, s in enumerate(states)]
-    return rows + tree.ask(Numbers(3), keys, times > 1, shard, shard) if len(keys) else rows
+def state_rows(states: list[State], window: int, shard: int) -> list[tuple]:
+    return [(shard, b, STATE, None, None, pack(s, window)) for b, s in enumerate(states)]
+
+
+def report_keys(tree: Tree, level: int) -> Callable:
+    """A round's distinct keys of a shard, for the nodes."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        keys, times = round_keys([unpack(b) for _, b in blobs(rows, STATE)], level)
+        return info_rows(tree.ask(Numbers(3), keys, times > 1, key[0].as_py(), key[0].as_py()))
+
+    return run
 
 
 def round_keys(states: list[State], level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -326,7 +334,7 @@ def start_states(tree: Tree, method: Words) -> Callable:
                 size += len(part)
         if held:
             close()
-        return info_rows(asked(tree, method, states, 1, shard))
+        return info_rows(state_rows(states, method.window, shard))
 
     return run
 
@@ -342,9 +350,9 @@ def next_states(tree: Tree, method: Words, level: int) -> Callable:
     """A round's names are put in; after the last round, windows are compared."""
 
     def run(key, rows: pa.Table, heard: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        if shard < 0:
+        if not rows.num_rows:
             return info_rows([])
+        shard = key[0].as_py()
         states = [unpack(b) for _, b in blobs(rows, STATE)]
         steps = [rewrite(s, level) for s in states]
         keys, number = distinct_rows(np.concatenate([np.zeros((0, 3), np.uint64), *(s.keys for s in steps)]))
@@ -352,20 +360,29 @@ def next_states(tree: Tree, method: Words, level: int) -> Callable:
         ends = np.cumsum([len(s.keys) for s in steps]).tolist()
         states = [cut(named(s, step, names[end - len(step.keys) : end], level), method.window) for s, step, end in zip(states, steps, ends, strict=True)]
         states = [s for s in states if len(s.word)]
-        return info_rows(finished(tree, method, states, shard) if level == method.rounds else asked(tree, method, states, level + 1, shard))
+        return info_rows(finished(tree, method, states, shard) if level == method.rounds else state_rows(states, method.window, shard))
 
     return run
 
 
 def remove_repeats(docs: DataFrame, method: Words, apply: Callable[[Removal, pa.Table], pa.Table], schema) -> DataFrame:
-    dealt = repeats.deal(docs)
+    """Each round is a job of its own: its names are checkpointed, its states a table that the next but one deletes."""
+    dealt, spark = repeats.deal(docs), docs.sparkSession
     tree = dealt.tree
-    rows = dealt.step(report_words(tree)).repartition(tree.parts, "target")
-    rows = dealt.step(start_states(tree, method), tree.agree(rows, WordKeys(), Naming(0))).repartition(tree.parts, "target")
+    told = tree.agree(dealt.step(report_words(tree)).repartition(tree.parts, "target"), WordKeys(), Naming(0)).checkpoint()
+    where = shared_path(spark, "state")
+    states = bucketed(dealt.step(start_states(tree, method), told), "target", tree.parts, where)
     for level in range(1, method.rounds + 1):
-        told = tree.agree(rows, Numbers(3), Naming(level))
-        rows = rows.groupBy("target").cogroup(told.groupBy("target")).applyInArrow(next_states(tree, method, level), INFO).repartition(tree.parts, "target")
-    return repeats.finish(dealt, method, repeats.merge_tree(rows, method, tree), apply, schema)
+        asked = states.groupBy("target").applyInArrow(report_keys(tree, level), INFO).repartition(tree.parts, "target")
+        told = tree.agree(asked, Numbers(3), Naming(level)).checkpoint()
+        rows = states.groupBy("target").cogroup(told.groupBy("target")).applyInArrow(next_states(tree, method, level), INFO)
+        if level < method.rounds:
+            before, where = where, shared_path(spark, "state")
+            states = bucketed(rows, "target", tree.parts, where)
+            delete_path(spark, before)
+    marks = repeats.merge_tree(rows.repartition(tree.parts, "target"), method, tree).checkpoint()
+    delete_path(spark, where)
+    return repeats.finish(dealt, method, marks, apply, schema)
 
 
 SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"

@@ -3,8 +3,9 @@
 A window is a fixed number of consecutive units (bytes or words) of one document.  The task is to find
 every window that also starts earlier, over all documents, without comparing documents in pairs:
 
-1. Documents are dealt to shards by a hash of id and text; one exchange of the texts serves every later step.
-   Equal texts are found by hash: only the first of them takes part, the others are repeats as a whole.
+1. Tasks pack the documents that they read into shards of some MB, compressed, and write them as a table in
+   buckets: no text is ever exchanged, and every later step reads the table.  Equal texts are found by hash: only
+   the first of them takes part, the others are repeats as a whole.
 2. Every window selects an anchor inside itself by its content alone, so equal windows select equal anchors
    at equal offsets.  Shards learn over the tree of nodes (``tree``) which anchors other shards have as well.
 3. A shard marks all but the first of its own equal windows, and sends the runs of windows that are first in
@@ -33,7 +34,9 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from .common import bucketed, shared_path, slices
 from .tree import COPY, INFO, MARKS, RUNS, Tree, blobs, by_target, from_blob, info_rows, mix, to_blob
 
 SHARD_BYTES = 4 << 20
@@ -320,52 +323,91 @@ def null_or(doc_id: int, h8: int) -> int | None:
     return None if doc_id == NULL_ID and h8 < 0 else doc_id
 
 
+def unpack(left: pa.Table, schema: pa.Schema) -> pa.Table:
+    return pa.concat_tables([schema.empty_table(), *(pa.ipc.open_stream(b).read_all().cast(schema) for b in left.column("blob").to_pylist())])
+
+
 class Dealt(NamedTuple):
     """The texts in their shards, their copies, and the tree over the shards."""
 
-    texts: DataFrame  #: ks_shard, ks_id, ks_h8, ks_body and what is carried; dealt by shard
+    shards: DataFrame  #: target, blob: a shard's ks_id, ks_h8, ks_body and what is carried; in buckets by target
     copies: DataFrame  #: rows of kind COPY
     tree: Tree
+    schema: pa.Schema  #: of a shard
 
     def step(self, fn: Callable, rows: DataFrame | None = None, schema=INFO) -> DataFrame:
         """``fn`` of each shard: its texts, and its copies and other rows."""
-        told = self.copies if rows is None else self.copies.union(rows)
-        return self.texts.groupBy("ks_shard").cogroup(told.groupBy("target")).applyInArrow(fn, schema)
+        told, kind = self.copies if rows is None else self.copies.union(rows), self.schema
+
+        def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+            return fn(key, unpack(left, kind), right)
+
+        return self.shards.select("target", "blob").groupBy("target").cogroup(told.groupBy("target")).applyInArrow(run, schema)
+
+
+PACKED = "target bigint, ids array<bigint>, hashes array<bigint>, keys array<binary>, blob binary"
+
+
+def packer(tasks: int, size: int) -> Callable:
+    """Rows of a task as shards of ``size`` bytes of text; numbers of shards are dense if there are ``tasks`` tasks."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, k, held, so_far = TaskContext.get().partitionId(), 0, [], 0
+
+        def row() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, (kept := rows.drop_columns(["ks_key"])).schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=1))) as f:
+                f.write_table(kept.combine_chunks())
+            cols = [pa.array([[*rows.column(c).to_pylist()]], t) for c, t in (("ks_id", pa.list_(pa.int64())), ("ks_h8", pa.list_(pa.int64())), ("ks_key", pa.list_(pa.binary())))]
+            return pa.RecordBatch.from_arrays([pa.array([k * tasks + part], pa.int64()), *cols, pa.array([out.getvalue().to_pybytes()], pa.binary())], ["target", "ids", "hashes", "keys", "blob"])
+
+        for batch in slices(batches, 2, max(1, size // 8)):
+            held.append(batch)
+            so_far += pa.compute.sum(pa.compute.binary_length(batch.column(2))).as_py()
+            if so_far >= size:
+                yield row()
+                k, held, so_far = k + 1, [], 0
+        if held:
+            yield row()
+
+    return run
 
 
 def deal(docs: DataFrame, carry: list[Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> Dealt:
-    """The exchange holds each text once, and of the other columns only what ``carry`` asks for.
+    """Shards hold each text once, and of the other columns only what ``carry`` asks for.
 
     A null id travels as the least bigint with a negative hash; a real one of that value has another.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    row = docs.agg(F.sum(F.length(body)).alias("size"), F.count("*").alias("n")).first()
-    shards = max(1, -(-(row["size"] or 0) // SHARD_BYTES))
-    parts = min(MAX_PARTITIONS, max(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    row = docs.select(F.length(body).alias("n"), F.spark_partition_id().alias("part")).agg(F.sum("n").alias("size"), F.count("*").alias("n"), F.max("part").alias("last")).first()
+    parts = min(MAX_PARTITIONS, max(-(-(row["size"] or 0) // SHARD_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     key, h = F.col(id_col).cast("bigint"), F.xxhash64(body)
     h8 = F.when(key.isNull(), h.bitwiseOR(F.lit(SIGN))).when(key == NULL_ID, h.bitwiseAND(F.lit(~SIGN))).otherwise(h)
-    doc_id = F.coalesce(key, F.lit(NULL_ID))
-    named = [doc_id.alias("ks_id"), body.alias("ks_body"), h8.alias("ks_h8"), F.pmod(F.xxhash64(doc_id, h8), F.lit(shards)).cast("bigint").alias("ks_shard")]
-    dealt = docs.select(*named, *(carry or [])).repartition(parts, "ks_shard")
+    named = docs.select(F.coalesce(key, F.lit(NULL_ID)).alias("ks_id"), h8.alias("ks_h8"), body.alias("ks_body"), *(carry or []), F.substring(F.unhex(F.sha2(body, 256)), 1, 16).alias("ks_key"))
+    shards = bucketed(named.mapInArrow(packer((row["last"] or 0) + 1, SHARD_BYTES), PACKED), "target", parts, shared_path(spark, "dealt"))
 
-    keys = docs.select(*named).select("ks_shard", "ks_id", "ks_h8", F.substring(F.unhex(F.sha2("ks_body", 256)), 1, 16).alias("ks_key"))
+    keys = shards.select("target", F.explode(F.arrays_zip("ids", "hashes", "keys")).alias("r")).select("target", F.col("r.ids").alias("ks_id"), F.col("r.hashes").alias("ks_h8"), F.col("r.keys").alias("ks_key"))
     groups = keys.groupBy("ks_key").agg(F.min(F.struct("ks_id", "ks_h8")).alias("ks_first"), F.count("*").alias("ks_n")).where("ks_n > 1")
     # A group of copies may be a third of all rows.  Those over `hot` rows, HOT_GROUPS at most, meet their first in several tasks.
     hot = max(100, row["n"] // HOT_GROUPS)
     salts = (F.col("ks_n") / hot).cast("int") + 1
-    # (That a first isn't null is asked so that both uses of the groups need the same columns, and share one exchange.)
-    few = F.broadcast(groups.where((F.col("ks_n") > hot) & F.col("ks_first").isNotNull()).select("ks_key", salts.alias("ks_salts")))
+    few = F.broadcast(groups.where(F.col("ks_n") > hot).select("ks_key", salts.alias("ks_salts")))
     salted = keys.join(few, "ks_key", "left").withColumn("ks_salt", F.pmod(F.xxhash64("ks_id", F.lit("salt")), F.coalesce("ks_salts", F.lit(1))).cast("int"))
     firsts = groups.select("ks_key", "ks_first", F.explode(F.sequence(F.lit(0), F.when(F.col("ks_n") > hot, salts - 1).otherwise(0))).alias("ks_salt"))
     nothing = lambda kind: F.lit(None).cast(kind)
     later = salted.join(firsts, ["ks_key", "ks_salt"]).where(F.struct("ks_id", "ks_h8") > F.col("ks_first"))
-    copies = later.select(F.col("ks_shard").alias("target"), nothing("bigint").alias("child"), F.lit(COPY).cast("tinyint").alias("kind"), F.col("ks_id").alias("id"), F.col("ks_h8").alias("h8"), nothing("binary").alias("blob"))
-    return Dealt(dealt, copies, Tree.over(shards, parts))
+    copies = later.select("target", nothing("bigint").alias("child"), F.lit(COPY).cast("tinyint").alias("kind"), F.col("ks_id").alias("id"), F.col("ks_h8").alias("h8"), nothing("binary").alias("blob"))
+    last = shards.agg(F.max("target")).first()[0] or 0
+    schema = to_arrow_schema(named.drop("ks_key").schema)
+    return Dealt(shards, copies.checkpoint(), Tree.over(last + 1, parts), schema)
 
 
 def finish(dealt: Dealt, method: Method, marks: DataFrame, apply: Callable[[Removal, pa.Table], pa.Table], schema) -> DataFrame:
-    """``apply`` of every shard: its removals and its rows (ks_id, ks_h8, ks_body, ks_shard and what is carried)."""
+    """``apply`` of every shard: its removals and its rows (ks_id, ks_h8, ks_body and what is carried)."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         return apply(Removal(method, right), left)

@@ -284,7 +284,7 @@ def remove_repeats(docs: DataFrame, method: Bytes, apply: Callable[[Removal, pa.
     tree = dealt.tree
     asked = dealt.step(report_anchors(tree, method)).repartition(tree.parts, "target")
     resolved = dealt.step(resolve_shard(tree, method), tree.agree(asked, Numbers(), Shared())).repartition(tree.parts, "target")
-    return repeats.finish(dealt, method, repeats.merge_tree(resolved, method, tree), apply, schema)
+    return repeats.finish(dealt, method, repeats.merge_tree(resolved, method, tree).checkpoint(), apply, schema)
 
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
