@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame
 
 from . import repeats
 from .common import bucketed, delete_path, shared_path
-from .learning import _Codes
 from .repeats import Docs, Removal, Runs, merged_rows, null_or, number_runs, spread
 from .tree import INFO, STATE, Naming, Numbers, Tree, blobs, distinct_rows, from_blob, info_rows, mix, to_blob
 from .tree import Words as WordKeys
@@ -43,19 +42,62 @@ WORDS, ROUNDS = 13, 3
 BLOCK, CHUNK = 1 << 20, 1 << 20
 FAR = 1 << 30
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
+IN_WORD = np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)])
 ONE = np.uint64(1 << 32 | 1)
 
 
-def chunks(text: bytes) -> Iterator[list[bytes]]:
-    """The text's words, some at a time."""
+def pieces(text: bytes) -> Iterator[bytes]:
+    """The text, cut between words into pieces of bounded size (one word at least)."""
     at = 0
     while at < len(text):
         cut = SPACE.search(text, at + CHUNK) if at + CHUNK < len(text) else None
         end = cut.start() if cut else len(text)
-        yield (text if end - at == len(text) else text[at:end]).split()
+        yield text if end - at == len(text) else text[at:end]
         at = end
 
 
+def word_numbers(text: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Where each word begins, the distinct words, and each word's number among them.
+
+    Words of up to 16 bytes are compared as two integers and a length, in numpy; longer ones as bytes.
+    """
+    data = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = IN_WORD[data]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    begin, end = edges[::2], edges[1::2]
+    size = end - begin
+    aligned = np.zeros(len(data) // 8 + 4, "<u8")
+    aligned.view(np.uint8)[: len(data)] = data
+    shift = (begin & 7).astype(np.uint64) * np.uint64(8)
+    back = (np.uint64(64) - shift) & np.uint64(63)
+
+    def load(k: int) -> np.ndarray:
+        """Bytes 8 * k to 8 * k + 7 of each word, zeros beyond its end."""
+        at = (begin >> 3) + k
+        value = aligned[at] >> shift | np.where(shift > 0, aligned[at + 1] << back, 0)
+        have = np.clip(size - 8 * k, 0, 8).astype(np.uint64) * np.uint64(8)
+        return np.where(have == 64, value, value & ((np.uint64(1) << (have & np.uint64(63))) - np.uint64(1)))
+
+    low, high = load(0), load(1)
+    long = np.flatnonzero(size > 16)
+    seen: dict[bytes, int] = {}
+    high[long] = [seen.setdefault(text[a:b], len(seen)) for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True)]
+    low[long], kind = 0, np.minimum(size, 17).astype(np.uint64)
+    hashes = mix(low * np.uint64(0xC2B2AE3D27D4EB4F) + mix(high + kind * np.uint64(0x9E3779B97F4A7C15)))
+    order = np.argsort(hashes)
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    first, number = order[fresh], np.empty(len(order), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    model = first[number]
+    if ((low != low[model]) | (high != high[model]) | (kind != kind[model])).any():  # two words of one hash
+        keys, number = distinct_rows(np.stack([low, high, kind], 1))
+        first = np.full(len(keys), len(low))
+        np.minimum.at(first, number, np.arange(len(low)))
+    return begin, [text[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)], number
+
+
 class State(NamedTuple):
     """Stretches of words that windows with possible equals cover, and their symbols; places are in the block."""
 
@@ -263,12 +305,32 @@ class Vocabulary(NamedTuple):
 
 
 def read_words(docs: Docs) -> Vocabulary:
-    known = _Codes()
-    code, out = known.__getitem__, []
-    for text in docs.texts():
-        parts = [np.fromiter(map(code, words), np.uint32, len(words)) for words in chunks(text)]
-        out.append(parts[0] if len(parts) == 1 else np.concatenate([*parts, np.zeros(0, np.uint32)]))
-    return Vocabulary(known.tokens, out)
+    vocabulary, known, out, held, size = [], {}, [], [], 0
+
+    def close() -> None:
+        begin, words, codes = word_numbers(b"\n".join(part for _, part in held))
+        if vocabulary:  # only a shard of very long texts is read in several goes
+            if not known:
+                known.update(zip(vocabulary, range(len(vocabulary)), strict=True))
+            codes = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))[codes]
+            vocabulary.extend(list(known)[len(vocabulary) :])
+        else:
+            vocabulary.extend(words)
+        for (d, _), part in zip(held, np.split(codes.astype(np.uint32), np.searchsorted(begin, np.cumsum([len(part) + 1 for _, part in held])[:-1])), strict=True):
+            out[d].append(part)
+        held.clear()
+
+    for d, text in enumerate(docs.texts()):
+        out.append([])
+        for part in pieces(text):
+            if size + len(part) > 8 * CHUNK and held:
+                close()
+                size = 0
+            held.append((d, part))
+            size += len(part)
+    if held:
+        close()
+    return Vocabulary(vocabulary, [parts[0] if len(parts) == 1 else np.concatenate([*parts, np.zeros(0, np.uint32)]) for parts in out])
 
 
 def report_words(tree: Tree) -> Callable:
@@ -391,7 +453,7 @@ SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 def _left(body: bytes, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
     """(number of words, those left) of each chunk of a text."""
     at = 0
-    for words in chunks(body):
+    for words in map(bytes.split, pieces(body)):
         n, out, done = len(words), [], 0
         for a, b in zip(begin[(a := np.searchsorted(end, at, "right")) : (z := np.searchsorted(begin, at + n))].tolist(), end[a:z].tolist(), strict=True):
             out += words[done : max(a - at, done)]

@@ -149,9 +149,22 @@ def equal_windows(tag: np.ndarray, at: np.ndarray, child: np.ndarray, words: np.
     if len(some):  # a child's windows of one tag are in the order of their contents
         group = np.cumsum(np.append(True, (t[some][1:] != t[some][:-1]) | (c[some][1:] != c[some][:-1])))
         places = at[order[some]]
-        sorted_ = np.lexsort((*(words[places + d] for d in reversed(steps)), group))
+        sorted_ = None
+        if c[0] == c[-1]:  # of one child only it matters which are equal: a hash sorts them, if it tells them apart
+            hashes = mix(group.astype(np.uint64))
+            for d in steps:
+                hashes = mix(hashes ^ words[places + d])
+            sorted_ = np.argsort(hashes, kind="stable")
+            near, there = places[sorted_], hashes[sorted_]
+            equal = there[1:] == there[:-1]
+            k = np.flatnonzero(equal)
+            if (group[sorted_[k + 1]] != group[sorted_[k]]).any() or compare(words, near[k + 1], near[k], steps).any():
+                sorted_ = None
+        if sorted_ is None:
+            sorted_ = np.lexsort((*(words[places + d] for d in reversed(steps)), group))
+            near = places[sorted_]
+            equal = (group[sorted_][1:] == group[sorted_][:-1]) & (compare(words, near[1:], near[:-1], steps) == 0)
         order[some] = order[some][sorted_]
-        equal = (group[sorted_][1:] == group[sorted_][:-1]) & (compare(words, at[order[some]][1:], at[order[some]][:-1], steps) == 0)
         first = np.maximum.accumulate(np.where(np.append(True, ~equal), np.arange(len(some)), 0))
         root[order[some]] = order[some[first]]
         fresh[some[1:][equal]] = False
@@ -258,8 +271,8 @@ def merged_rows(tree: Tree, method: Method, runs: Runs, child: np.ndarray, sende
 def merge_node(tree: Tree, method: Method, level: int) -> Callable:
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         target = key[0].as_py()
-        if target >= 0:
-            return info_rows([])
+        if target >= 0:  # marks, on their way to a shard
+            return table
         parts = [Runs(*from_blob(b, *RUN_KINDS, method.payload)) for _, b in blobs(table, RUNS)]
         child = np.repeat(np.arange(len(parts)), [len(p.n) for p in parts])
         return info_rows(merged_rows(tree, method, Runs.joined(parts), child, target, level))
@@ -267,22 +280,13 @@ def merge_node(tree: Tree, method: Method, level: int) -> Callable:
     return run
 
 
-def only_marks(batches):
-    for batch in batches:
-        some = batch.filter(pa.compute.equal(batch.column("kind"), MARKS))
-        if some.num_rows:
-            yield some
-
-
 def merge_tree(rows: DataFrame, method: Method, tree: Tree) -> DataFrame:
     """All marks for the shards; ``rows``, dealt by target, have the shards' own marks and their runs."""
-    marks = rows.mapInArrow(only_marks, INFO)
     for level in range(1, tree.depth + 1):
         rows = rows.groupBy("target").applyInArrow(merge_node(tree, method, level), INFO)
         if level < tree.depth:
             rows = rows.repartition(tree.parts, "target")
-        marks = marks.union(rows.mapInArrow(only_marks, INFO))
-    return marks
+    return rows
 
 
 class Removal:

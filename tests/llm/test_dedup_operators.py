@@ -190,6 +190,23 @@ def test_recompression_equals_brute_force(spark, shards, seed, words):
     assert recompression.dedup_digest(frame(spark, rows).where("false")).count() == 0
 
 
+def test_words_are_numbered_by_their_bytes(monkeypatch):
+    rng = random.Random(8)
+    text = "".join(rng.choice(["a", "b", "é", "\0", " ", "\n", "\t ", "\x0b", "\x85", "word", "x" * 15, "y" * 17]) for _ in range(4000)).encode()
+    for collide in (False, True):
+        if collide:
+            monkeypatch.setattr(recompression, "mix", lambda a: a & np.uint64(3))
+        for t in (text, text.strip(), b"", b"  ", b"a", b"abcdefgh" * 2 + b" " + b"abcdefgh" * 2 + b"\0"):
+            begin, words, number = recompression.word_numbers(t)
+            assert [words[k] for k in number] == t.split() and len(set(words)) == len(words)
+            assert all(t[b:].startswith(words[k]) for b, k in zip(begin, number, strict=True))
+    monkeypatch.setattr(recompression, "CHUNK", 50)
+    assert b" ".join(p.strip() for p in recompression.pieces(text)).split() == text.split() and max(map(len, recompression.pieces(text))) < 300
+    docs = type("Docs", (), {"texts": lambda self: iter([b"", text, text[:70], text])})()
+    read = recompression.read_words(docs)
+    assert [[read.words[k] for k in c] for c in read.codes] == [t.split() for t in docs.texts()] and len(set(read.words)) == len(read.words)
+
+
 def test_ids_that_look_like_null(spark):
     """The least bigint is an id of its own, after null ids."""
     text = " ".join(f"word{k}" for k in range(60))
