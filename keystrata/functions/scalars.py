@@ -53,11 +53,11 @@ def byte_size(col: Column) -> Column:
 
 
 def uptime(seconds: Column) -> Column:
-    """Seconds as days, hours, minutes and seconds, from the first that isn't zero."""
+    """Seconds as days, hours, minutes and seconds, from the first that isn't zero, minutes at least."""
     s = seconds.cast("bigint")
     d, h, m, r = F.floor(s / 86400), F.floor(s % 86400 / 3600), F.floor(s % 3600 / 60), s % 60
     text = lambda *parts: F.concat_ws(" ", *(F.concat(n.cast("bigint").cast("string"), F.lit(u)) for n, u in parts))
-    return F.when(d > 0, text((d, "d"), (h, "h"), (m, "m"), (r, "s"))).when(h > 0, text((h, "h"), (m, "m"), (r, "s"))).when(m > 0, text((m, "m"), (r, "s"))).otherwise(text((r, "s")))
+    return F.when(d > 0, text((d, "d"), (h, "h"), (m, "m"), (r, "s"))).when(h > 0, text((h, "h"), (m, "m"), (r, "s"))).otherwise(text((m, "m"), (r, "s")))
 
 
 def segment_file(segment_id: Column) -> Column:
@@ -68,22 +68,37 @@ def seq_label(seq: Column) -> Column:
     return F.concat(F.lit("seq:"), seq.cast("string"))
 
 
+def _flat(keys) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all keys end to end, where each begins, and its length."""
+    raw = [b"" if k is None else bytes(k) if not isinstance(k, str) else k.encode() for k in keys]
+    size = np.array([len(r) for r in raw], np.int64)
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size
+
+
+@F.pandas_udf(T.IntegerType())
+def _shared_prefix(a: pd.Series, b: pd.Series) -> pd.Series:
+    (x, at, m), (y, to, n) = _flat(a), _flat(b)
+    least, out = np.minimum(m, n), np.zeros(len(m), np.int32)
+    live = np.flatnonzero(least > 0)
+    i = 0
+    while len(live):
+        live = live[x[at[live] + i] == y[to[live] + i]]
+        i += 1
+        out[live] = i
+        live = live[least[live] > i]
+    return pd.Series(out)
+
+
 def shared_prefix(a: Column, b: Column) -> Column:
     """Leading bytes that two keys have in common; 0 if either is null."""
-    x, y = F.hex(a), F.hex(b)
-    n = F.least(F.length(x), F.length(y)) / 2
-    differs = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), lambda i: F.substr(x, 2 * i - 1, F.lit(2)) != F.substr(y, 2 * i - 1, F.lit(2)))
-    first = F.when(a.isNull() | b.isNull() | (n < 1), F.lit(0)).when(F.size(differs) > 0, F.element_at(differs, 1) - 1).otherwise(n)
-    return F.coalesce(first, F.lit(0)).cast("int")
+    return _shared_prefix(a.cast("binary"), b.cast("binary"))
 
 
 def _fnv1a(keys: pd.Series, basis: int) -> np.ndarray:
     """Hash of each byte string, all strings a byte at a time."""
-    raw = [b"" if k is None else bytes(k) if not isinstance(k, str) else k.encode() for k in keys]
-    size = np.array([len(r) for r in raw], np.int64)
-    start = np.cumsum(size) - size
-    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
-    h = np.full(len(raw), basis, np.uint64)
+    data, start, size = _flat(keys)
+    data = data.astype(np.uint64)
+    h = np.full(len(size), basis, np.uint64)
     for i in range(int(size.max(initial=0))):
         live = size > i
         h[live] = (h[live] ^ data[start[live] + i]) * np.uint64(FNV_PRIME) & np.uint64(0xFFFFFFFF)

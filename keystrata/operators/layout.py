@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import FNV_BASIS, _fnv1a, byte_size, shared_prefix
+from ..functions.scalars import FNV_BASIS, FNV_PRIME, _fnv1a, byte_size, shared_prefix
 
-# Bytes of a block entry's header; bits a key; seed of the second hash.
-ENTRY_HEADER, BITS_PER_KEY, SECOND_SEED = 8, 10, 0x9747B28C
+# Bytes of a block entry's header; bits a key.
+ENTRY_HEADER, BITS_PER_KEY = 8, 10
 
 
 def entry_sizes(log: DataFrame) -> DataFrame:
@@ -42,20 +42,32 @@ def blocks(log: DataFrame, block_bytes: int = 4096, segment: str = "segment_id")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, types = ["segment_id", "block", "entries", "bytes", "first_key", "last_key"], None
-        at = None  # [segment, block, entries, bytes, first, last]
+        held = None  # of the block that the batches so far end in: [segment, block, entries, bytes, first, last]
         for batch in batches:
             types = types or [pa.int64(), pa.int64(), pa.int64(), pa.int64(), batch.schema.field(1).type, batch.schema.field(1).type]
-            done = []
-            for seg, key, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if at is None or at[0] != seg or at[3] + size > block_bytes:
-                    if at:
-                        done.append(at)
-                    at = [seg, at[1] + 1 if at and at[0] == seg else 0, 0, 0, key, key]
-                at[2], at[3], at[5] = at[2] + 1, at[3] + size, key
+            seg, size, keys, n = batch.column(0).to_numpy(), batch.column(3).to_numpy().astype(np.int64), batch.column(1), batch.num_rows
+            ends = np.cumsum(size)
+            done, i = [], 0
+            while i < n:  # a step a block: the first entry that is of another segment, or too much
+                stop = int(np.searchsorted(seg, seg[i], "right"))
+                if held and held[0] != seg[i]:
+                    done.append(held)
+                    held = None
+                before = int(ends[i - 1]) if i else 0
+                room = block_bytes - (held[3] if held else 0)
+                last = min(stop, int(np.searchsorted(ends, before + room, "right")))
+                if last == i and held and held[2]:
+                    done.append(held)
+                    held = [held[0], held[1] + 1, 0, 0, None, None]
+                    continue
+                last = max(last, i + 1)
+                held = held or [int(seg[i]), 0, 0, 0, None, None]
+                held[2], held[3] = held[2] + last - i, held[3] + int(ends[last - 1]) - before
+                held[4], held[5], i = keys[i].as_py() if held[4] is None else held[4], keys[last - 1].as_py(), last
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names)
-        if at:
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(at, types, strict=True)], names)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(held, types, strict=True)], names)
 
     ordered = sized.withColumn("segment_id", F.col("segment_id").cast("bigint")).repartition("segment_id").sortWithinPartitions("segment_id", "key", "seq")
     return ordered.mapInArrow(split, f"segment_id bigint, block bigint, entries bigint, bytes bigint, first_key {kind}, last_key {kind}")
@@ -63,13 +75,13 @@ def blocks(log: DataFrame, block_bytes: int = 4096, segment: str = "segment_id")
 
 def bloom_shape(keys: int, bits_per_key: int = BITS_PER_KEY) -> tuple[int, int]:
     """Bits and hashes of a filter for so many keys."""
-    return max(64, -(-keys * bits_per_key // 64) * 64), min(30, max(1, round(bits_per_key * math.log(2))))
+    return max(64, keys * bits_per_key), min(30, max(1, round(bits_per_key * math.log(2))))
 
 
 def bloom_positions(keys, bits: int, hashes: int) -> np.ndarray:
-    """Bits of each key by double hashing: h1 + i * h2, h2 odd."""
-    first, second = _fnv1a(keys, FNV_BASIS), _fnv1a(keys, FNV_BASIS ^ SECOND_SEED) | 1
-    return (first[:, None] + np.arange(hashes) * second[:, None]) % bits
+    """Bits of each key by double hashing in 32 bits: h1 + i * h2; h2 is odd, and FNV-1a from another basis."""
+    first, second = _fnv1a(keys, FNV_BASIS), 2 * _fnv1a(keys, FNV_BASIS ^ FNV_PRIME) + 1 & 0xFFFFFFFF
+    return (first[:, None] + np.arange(hashes) * second[:, None] & 0xFFFFFFFF) % bits
 
 
 def bloom_build(log: DataFrame, keys: int, bits_per_key: int = BITS_PER_KEY, segment: str = "segment_id") -> DataFrame:

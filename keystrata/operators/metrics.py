@@ -30,6 +30,11 @@ def segment_ranges(log: DataFrame, segment: str = "segment_id") -> DataFrame:
     return log.groupBy(segment).agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"), F.count("*").alias("rows"))
 
 
+def totals(segments: DataFrame) -> DataFrame:
+    """One row over all segments: how many, the highest id, the least and greatest key, rows."""
+    return segments.agg(F.count("*").alias("segments"), F.max("segment_id").alias("max_segment_id"), F.min("min_key").alias("min_key"), F.max("max_key").alias("max_key"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+
+
 def log_bytes(log: DataFrame) -> DataFrame:
     """One row: rows, bytes of keys, bytes of values."""
     return log.agg(F.count("*").alias("rows"), F.coalesce(F.sum(byte_size(F.col("key"))), F.lit(0)).alias("key_bytes"), F.coalesce(F.sum(byte_size(F.col("value"))), F.lit(0)).alias("value_bytes"))

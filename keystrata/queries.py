@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fixtures import events_log, orders_log, segmented, table, user_key
+from .fixtures import events_log, orders_log, scratch, segmented, table, user_key
 from .functions import scalars
 from .operators import layout, metrics, reads
 from .plans import compaction
+from .schema import Options
 from .sources.store import Store
 from .streaming import latest
 
@@ -111,12 +114,7 @@ def merge_sources(spark, sf_dir):
 
 def store_round_trip(spark, sf_dir):
     """The events log written to a store in several batches, compacted, and read back at once."""
-    from uuid import uuid4
-
-    from .schema import Options
-
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/keystrata").rstrip("/")
-    store = Store.open(spark, f"{root}/store-{uuid4().hex}", Options(l0_threshold=3), clock=lambda: 0.0)
+    store = Store.open(spark, scratch(spark, "store"), Options(l0_threshold=3), clock=lambda: 0.0)
     log = events_log(spark, sf_dir).withColumn("ordinal", F.col("seq")).select("ordinal", "op", "key", "value")
     bounds = [0, *[r[0] for r in [log.agg(F.max("ordinal")).first()]]]
     step = -(-(bounds[-1] or 1) // 4)
@@ -125,6 +123,65 @@ def store_round_trip(spark, sf_dir):
     return store.scan()
 
 
+def _nations(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select(F.lit("P").alias("op"), F.col("n_name").alias("key"), F.col("n_nationkey").cast("string").alias("value"), F.col("n_regionkey").alias("region"))
+
+
+def store_single_writes(spark, sf_dir):
+    """Puts, deletes and expiries one by one over a bulk load, at a clock of their own."""
+    store = Store.open(spark, scratch(spark, "store"), Options(auto_compact=False), clock=lambda: 1000.0)
+    store.append(_nations(spark, sf_dir).drop("region"))
+    store.put("CANADA", "new")
+    store.delete("BRAZIL")
+    store.put_with_ttl("FRANCE", "gone at once", 0.5)
+    store.put_with_ttl("KENYA", "kept", 60)
+    store.put("BRAZIL AND MORE", "")
+    return store.scan()
+
+
+def store_snapshot_after_compaction(spark, sf_dir):
+    """What a snapshot saw, read after later writes and a full merge."""
+    store = Store.open(spark, scratch(spark, "store"), Options(auto_compact=False), clock=lambda: 1000.0)
+    store.append(_nations(spark, sf_dir).drop("region"))
+    before = store.snapshot()
+    store.append(_nations(spark, sf_dir).where("region = 1").select(F.lit("D").alias("op"), "key", F.lit(None).cast("string").alias("value")))
+    store.compact(force=True)
+    return store.scan(snapshot=before).select("key", F.col("value").alias("before")).join(store.scan().select("key", F.col("value").alias("after")), "key", "left")
+
+
+def store_repair(spark, sf_dir):
+    """A store that lost its manifests: repair finds all segments."""
+    store = Store.open(spark, scratch(spark, "store"), Options(auto_compact=False), clock=lambda: 1000.0)
+    for region in range(3):
+        store.append(_nations(spark, sf_dir).where(F.col("region") == region).drop("region"))
+    store.fs.delete(f"{store.path}/manifest")
+    Store.repair(spark, store.path)
+    return Store.open(spark, store.path, clock=lambda: 1000.0).scan()
+
+
+def store_vacuum(spark, sf_dir):
+    """What is left after a merge and a clean-up of all that is old."""
+    store = Store.open(spark, scratch(spark, "store"), Options(auto_compact=False), clock=lambda: 1000.0)
+    for region in range(3):
+        store.append(_nations(spark, sf_dir).where(F.col("region") == region).drop("region"))
+    store.compact(force=True)
+    gone = store.vacuum(1, 0)
+    return store.scan().agg(F.count("*").alias("keys")).select("keys", F.lit(len(gone)).alias("deleted"), F.lit(store.manifest().count()).alias("segments"))
+
+
+def concurrent_puts(spark, sf_dir):
+    """Two handles on one store, two threads each: no write is lost."""
+    path = scratch(spark, "store")
+    handles = [Store.open(spark, path, Options(auto_compact=False), clock=lambda: 1000.0) for _ in range(2)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: handles[k % 2].put(f"thread {k % 4}", f"{k // 4}"), range(8)))
+    return handles[0].log().select("key", "value")
+
+
+def manifest_totals(spark, sf_dir):
+    return metrics.totals(metrics.segment_ranges(_segments(spark, sf_dir)))
+
+
 # -- segments and compaction ----------------------------------------------------------------------
 
 
@@ -188,11 +245,13 @@ def bloom_words(spark, sf_dir):
 
 
 def bloom_probe(spark, sf_dir):
-    """Probes that the filters let through though no segment has them, against all of them."""
+    """Probes that the filters let through though no segment has them, and those of a segment's own keys."""
     log = segmented(orders_log(spark, sf_dir))
-    probes = table(spark, sf_dir, "orders").select(F.concat(F.lit("probe:"), F.col("o_orderkey").cast("string")).alias("key"))
-    passed = layout.bloom_may_contain(layout.bloom_build(log, 1000), probes, 1000).count()
-    return log.agg(F.count_distinct("segment_id").alias("segments")).crossJoin(F.broadcast(probes.agg(F.count_distinct("key").alias("probes")))).withColumn("passed", F.lit(passed))
+    foreign = table(spark, sf_dir, "orders").select(F.concat(F.lit("probe:"), F.col("o_orderkey").cast("string")).alias("key"))
+    filters = layout.bloom_build(log, 1000)
+    own = layout.bloom_may_contain(filters, log, 1000).join(log.select("segment_id", "key"), ["segment_id", "key"], "left_semi")
+    named = lambda frame, name: frame.agg(F.count("*").alias("n")).select(F.lit(name).alias("probes"), "n")
+    return named(layout.bloom_may_contain(filters, foreign, 1000), "foreign").union(named(own, "own"))
 
 
 def record_crc32(spark, sf_dir):
@@ -217,6 +276,12 @@ def kv_response(spark, sf_dir):
     return out.select(F.col("value").isNotNull().alias("found"), "key", "value", F.lower(F.hex("value")).alias("value_hex"))
 
 
+def lossy_text(spark, sf_dir):
+    """Values that are not UTF-8, as text and as shown."""
+    value = F.concat(F.col("n_name").cast("binary"), F.unhex(F.lit("FF41C3")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", scalars.lossy_text(value).alias("text"), scalars.shown(value).alias("shown"), scalars.shown(F.col("n_name").cast("binary")).alias("plain"))
+
+
 def labels_of_numbers(spark, sf_dir):
     """Display forms: uptimes, file names, sequence labels, op codes."""
     o = table(spark, sf_dir, "events").select("event_id", "event_type")
@@ -226,14 +291,11 @@ def labels_of_numbers(spark, sf_dir):
 
 def stream_latest(spark, sf_dir):
     """The newest version of each key, kept up by a stream over the events and read when it has caught up."""
-    from uuid import uuid4
-
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
     error = F.col("event_type") == "error"
     log = stream.select(user_key().alias("key"), (F.col("event_id") + 1).alias("seq"), F.when(error, "D").otherwise("P").alias("op"), F.when(~error, F.col("event_type")).alias("value"), F.lit(None).cast("bigint").alias("expires_at"))
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/keystrata").rstrip("/")
-    out = f"{root}/stream-{uuid4().hex}"
+    out = scratch(spark, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/result")
@@ -245,7 +307,7 @@ def stream_latest(spark, sf_dir):
 
 _NAMES = """latest_live get_point multi_get scan_range scan_empty_range prefix_scan binary_prefix_scan snapshot_get_at snapshot_scan
 next_snapshot tombstoned_keys ttl_expired_keys ttl_live_keys as_of_lookup write_batch_apply bulk_put_orders merge_sources
-store_round_trip segments_minmax segments_overlap compact_full compact_partial compact_retained level_counts op_metrics
+store_round_trip store_single_writes store_snapshot_after_compaction store_repair store_vacuum concurrent_puts manifest_totals lossy_text segments_minmax segments_overlap compact_full compact_partial compact_retained level_counts op_metrics
 value_bytes block_entries block_split shared_prefix bloom_words bloom_probe record_crc32 fnv_hash value_hex kv_response
 labels_of_numbers stream_latest""".split()
 
@@ -272,7 +334,57 @@ _B = """b AS (SELECT * FROM e UNION ALL
   SELECT DISTINCT 'user:' || lpad(CAST(user_id AS VARCHAR), 6, '0'), 20000000 + user_id, 'D', NULL, NULL FROM events WHERE user_id % 6 = 0)"""
 _LCP = "list_max(list_transform(range(0, CAST(least(strlen(key), strlen(p)) AS BIGINT) + 1), lambda i: CASE WHEN substr(key, 1, CAST(i AS INTEGER)) = substr(p, 1, CAST(i AS INTEGER)) THEN i ELSE 0 END))"
 
+_BYTES = "list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii(substr({0}, CAST(i AS INTEGER), 1)) AS BIGINT))"  # of ASCII text
+_M32 = 4294967295
+
+
+def _fnv(text: str, basis: int) -> str:
+    return f"list_reduce(list_prepend(CAST({basis} AS BIGINT), {_BYTES.format(text)}), lambda h, c: (xor(h, c) * 16777619) & {_M32})"
+
+
+def _positions(keys: str) -> str:
+    """(key, pos): the bits of 10,000 that each distinct key of ``keys`` sets by 7 hashes."""
+    return f"""SELECT DISTINCT segment_id, key, ((h1 + i * h2) & {_M32}) % 10000 AS pos FROM (
+        SELECT segment_id, key, {_fnv("key", 2166136261)} AS h1, (2 * {_fnv("key", 2166136261 ^ 16777619)} + 1) & {_M32} AS h2 FROM (SELECT DISTINCT segment_id, key FROM {keys})), range(7) AS r(i)"""
+
+
+_S = "s AS (SELECT CAST((seq - 1) // 1000 AS BIGINT) AS segment_id, key FROM o)"
+_CRC = "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform({0}, lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END)"
+
+
+def _le32(n: str) -> str:
+    return f"[{n} & 255, {n} >> 8 & 255, {n} >> 16 & 255, {n} >> 24 & 255]"
+
+
 ORACLE_SQL = {
+    "store_single_writes": """SELECT n_name AS key, CASE n_name WHEN 'CANADA' THEN 'new' WHEN 'KENYA' THEN 'kept' ELSE CAST(n_nationkey AS VARCHAR) END AS value
+        FROM nation WHERE n_name NOT IN ('BRAZIL', 'FRANCE') UNION ALL SELECT 'BRAZIL AND MORE', ''
+        UNION ALL SELECT k, v FROM (VALUES ('CANADA', 'new'), ('KENYA', 'kept')) AS x(k, v) WHERE k NOT IN (SELECT n_name FROM nation)""",
+    "store_snapshot_after_compaction": "SELECT n_name AS key, CAST(n_nationkey AS VARCHAR) AS before, CASE WHEN n_regionkey <> 1 THEN CAST(n_nationkey AS VARCHAR) END AS after FROM nation",
+    "store_repair": "SELECT n_name AS key, CAST(n_nationkey AS VARCHAR) AS value FROM nation WHERE n_regionkey < 3",
+    "store_vacuum": "SELECT count(*) AS keys, 3 AS deleted, 1 AS segments FROM nation WHERE n_regionkey < 3",
+    "concurrent_puts": "SELECT 'thread ' || t AS key, CAST(n AS VARCHAR) AS value FROM range(4) AS x(t), range(2) AS y(n)",
+    "manifest_totals": f"""WITH {_E}, r AS (SELECT CAST((seq - 1) // 1000 AS BIGINT) AS segment_id, min(key) AS low, max(key) AS high, count(*) AS n FROM e GROUP BY 1)
+        SELECT count(*) AS segments, max(segment_id) AS max_segment_id, min(low) AS min_key, max(high) AS max_key, CAST(sum(n) AS BIGINT) AS rows FROM r""",
+    "lossy_text": "SELECT n_nationkey, n_name || chr(65533) || 'A' || chr(65533) AS text, trim(regexp_replace(lower(hex(n_name)) || 'ff41c3', '(..)', '\\1 ', 'g')) AS shown, n_name AS plain FROM nation",
+    "fnv_hash": f"SELECT n_name, {_fnv('n_name', 2166136261)} AS hash FROM nation",
+    "bloom_words": f"""WITH {_O}, {_S}, p AS (SELECT DISTINCT segment_id, pos FROM ({_positions("s")})),
+        w AS (SELECT segment_id, pos // 64 AS word, sum(CAST(1 AS HUGEINT) << CAST(pos % 64 AS INTEGER)) AS b FROM p GROUP BY 1, 2)
+        SELECT segment_id, word, CAST(CASE WHEN b >= 9223372036854775808 THEN b - 18446744073709551616 ELSE b END AS BIGINT) AS bits FROM w""",
+    "bloom_probe": f"""WITH {_O}, {_S}, p AS (SELECT segment_id, key, pos FROM ({_positions("s")})), held AS (SELECT DISTINCT segment_id, pos FROM p),
+        x AS (SELECT 0 AS segment_id, 'probe:' || CAST(o_orderkey AS VARCHAR) AS key FROM orders), q AS (SELECT key, pos FROM ({_positions("x")})),
+        need AS (SELECT key, count(*) AS n FROM q GROUP BY key), got AS (SELECT q.key, h.segment_id, count(*) AS n FROM q JOIN held h USING (pos) GROUP BY 1, 2)
+        SELECT 'foreign' AS probes, count(*) AS n FROM got JOIN need USING (key, n) UNION ALL SELECT 'own', count(*) FROM (SELECT DISTINCT segment_id, key FROM s)""",
+    "record_crc32": f"""WITH {_E}, r AS (SELECT seq, CASE op WHEN 'P' THEN 1 ELSE 2 END AS code, key, coalesce(value, '') AS v FROM e)
+        SELECT seq, xor({_CRC.format(f"flatten([[CAST(code AS BIGINT)], {_le32('length(key)')}, {_BYTES.format('key')}, {_le32('length(v)')}, {_BYTES.format('v')}])")}, {_M32}) AS crc FROM r""",
+    "block_split": f"""WITH RECURSIVE {_O}, s AS (SELECT CAST((seq - 1) // 5000 AS BIGINT) AS segment_id, key, 8 + strlen(key) + strlen(value) AS size,
+          row_number() OVER (PARTITION BY (seq - 1) // 5000 ORDER BY key, seq) AS n FROM o),
+        c AS (SELECT *, sum(size) OVER (PARTITION BY segment_id ORDER BY n) AS total FROM s),
+        b AS (SELECT segment_id, CAST(0 AS BIGINT) AS block, CAST(1 AS BIGINT) AS n, CAST(0 AS HUGEINT) AS before FROM c GROUP BY segment_id UNION ALL
+          SELECT b.segment_id, b.block + 1, min(c.n), min(c.total - c.size) FROM b JOIN c ON c.segment_id = b.segment_id AND c.n > b.n AND c.total > b.before + 4096 GROUP BY b.segment_id, b.block),
+        e AS (SELECT *, lead(n) OVER (PARTITION BY segment_id ORDER BY block) AS stop FROM b)
+        SELECT e.segment_id, e.block, count(*) AS entries, CAST(sum(c.size) AS BIGINT) AS bytes, min(c.key) AS first_key, max(c.key) AS last_key
+        FROM e JOIN c ON c.segment_id = e.segment_id AND c.n >= e.n AND (e.stop IS NULL OR c.n < e.stop) GROUP BY 1, 2""",
     "latest_live": _live("key, value, seq"),
     "get_point": _live("key, value, seq", "key = 'user:000007'"),
     "multi_get": _live("key, value", "key IN (SELECT 'user:' || lpad(CAST(user_id AS VARCHAR), 6, '0') FROM events WHERE user_id % 3 = 0)"),
@@ -316,7 +428,7 @@ ORACLE_SQL = {
     "labels_of_numbers": """WITH s AS (SELECT event_id, event_type, event_id * 7 AS t FROM events)
         SELECT event_id, CASE WHEN t >= 86400 THEN (t // 86400) || 'd ' || (t % 86400 // 3600) || 'h ' || (t % 3600 // 60) || 'm ' || (t % 60) || 's'
           WHEN t >= 3600 THEN (t // 3600) || 'h ' || (t % 3600 // 60) || 'm ' || (t % 60) || 's'
-          WHEN t >= 60 THEN (t // 60) || 'm ' || (t % 60) || 's' ELSE t || 's' END AS uptime,
+          ELSE (t // 60) || 'm ' || (t % 60) || 's' END AS uptime,
           lpad(CAST(event_id AS VARCHAR), 6, '0') || '.parquet' AS file, 'seq:' || event_id AS label,
           CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS code, CASE WHEN event_type = 'error' THEN 'D' ELSE 'P' END AS op FROM s""",
     "stream_latest": f"WITH {_E} SELECT key, seq, op, value FROM ({_TOP.format('e', 'true')})",

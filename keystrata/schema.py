@@ -52,5 +52,8 @@ class Options:
     auto_compact: bool = True
     bloom_keys: int = 0  #: expected distinct keys per row group; over 0, files get a Parquet bloom filter on key
 
+    claim_seconds: float = 60.0  #: after which an unfinished publication counts as dead
+    attempts: int = 30  #: to publish, while other writers are first
+
     def data_type(self) -> T.DataType:
         return T.BinaryType() if self.key_type == "binary" else T.StringType()

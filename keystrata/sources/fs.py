@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import SparkSession
 
 
@@ -22,6 +24,15 @@ class Fs:
     def size(self, path: str) -> int:
         return self.fs.getContentSummary(self._path(path)).getLength() if self.exists(path) else 0
 
+    def age(self, path: str) -> float:
+        """Seconds since the path was last changed, by this machine's clock; 0 if it is gone."""
+        try:
+            return time.time() - self.fs.getFileStatus(self._path(path)).getModificationTime() / 1000
+        except Exception as e:
+            if "FileNotFound" in str(e):
+                return 0.0
+            raise
+
     def rename(self, source: str, target: str) -> bool:
         return self.fs.rename(self._path(source), self._path(target))
 

@@ -6,8 +6,12 @@
 
 A write first finishes its segment, then its manifest, and last renames the manifest to its generation's
 name; readers take the highest generation, so a batch is visible as a whole or not at all, and a failed
-writer leaves only unreferenced folders.  Two writers of the same generation can't both succeed in the
-rename; the loser gets ``Conflict``.
+writer leaves only unreferenced folders.  Only who holds a generation's claim renames; a claim that is older
+than ``Options.claim_seconds`` without its generation is of a dead writer, and is taken over.  A writer that
+finds its generation published by another numbers its rows again, after the other's, and tries the next one.
+
+The writes of one handle take turns under its lock.  ``vacuum`` leaves what is younger than a bound alone, as it
+may belong to a write that is not published yet; should it go all the same, that write fails and starts again.
 
 Bulk appends number their rows without a global sort: rows are staged with an id made of partition and
 row number, and only the partitions' row counts meet to give each partition its first seq.
@@ -15,6 +19,8 @@ row number, and only the partitions' row counts meet to give each partition its
 
 from __future__ import annotations
 
+import random
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -57,6 +63,7 @@ class Store:
         self.reads_done = self.flushes = self.compactions = 0
         self.started, self.closed = clock(), False
         self.held: list[int] = []  # snapshots taken and not released
+        self.lock = threading.RLock()  # of writes
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, options: Options | None = None, clock: Callable[[], float] = time.time) -> Store:
@@ -80,13 +87,36 @@ class Store:
         return self.spark.read.schema(manifest_schema(self.kind)).parquet(f"{self.path}/manifest/{generation:08d}")
 
     def _publish(self, segments: DataFrame, generation: int) -> None:
-        staged = f"{self.path}/manifest/_staged-{uuid.uuid4().hex}"
+        name = f"_staged-{uuid.uuid4().hex}"
+        staged, target, claim = f"{self.path}/manifest/{name}", f"{self.path}/manifest/{generation:08d}", f"{self.path}/manifest/_claim-{generation:08d}"
         segments.coalesce(1).write.parquet(staged)
-        target = f"{self.path}/manifest/{generation:08d}"
-        # The marker is created by one writer only, also where renames onto folders don't fail.
-        if not self.fs.create_new(f"{self.path}/manifest/_claim-{generation:08d}") or not self.fs.rename(staged, target):
+        try:
+            if self.fs.exists(target) or not self._claim(claim):
+                raise Conflict(f"generation {generation} was published by another writer")
+            try:
+                if missing := [r.path for r in segments.select("path").collect() if not self.fs.exists(f"{self.path}/{r.path}")]:
+                    raise Conflict(f"segments were deleted before they were published: {missing}")
+                # Onto a folder that is there a rename may fail, or put the staged one inside it.
+                if not self.fs.rename(staged, target) or self.fs.exists(f"{target}/{name}"):
+                    self.fs.delete(f"{target}/{name}")
+                    raise Conflict(f"generation {generation} was published by another writer")
+            finally:
+                self.fs.delete(claim)
+        except Conflict:
             self.fs.delete(staged)
-            raise Conflict(f"generation {generation} was published by another writer")
+            raise
+
+    def _claim(self, claim: str) -> bool:
+        """Takes a claim; one whose writer died is set aside first, by one taker only."""
+        if self.fs.create_new(claim):
+            return True
+        if self.fs.age(claim) <= self.options.claim_seconds:
+            return False
+        aside = f"{claim}-{uuid.uuid4().hex}"
+        if not self.fs.rename(claim, aside):
+            return False
+        self.fs.delete(aside)
+        return self.fs.create_new(claim)
 
     def _rows(self, segments: DataFrame) -> list:
         return segments.select("segment_id", "level", "min_key", "max_key", "min_seq", "max_seq", "rows", "bytes", "path").collect()
@@ -108,8 +138,8 @@ class Store:
         schema = changelog_schema(self.kind)
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def next_seq(self) -> int:
-        return (self.manifest().agg(F.max("max_seq")).first()[0] or 0) + 1
+    def next_seq(self, generation: int | None = None) -> int:
+        return (self.manifest(generation).agg(F.max("max_seq")).first()[0] or 0) + 1
 
     # -- writes -----------------------------------------------------------------------------------
 
@@ -119,34 +149,52 @@ class Store:
         Rows take consecutive seqs, in the order of ``order_by`` if it is given.  No rows change nothing.
         """
         self._open()
-        generation = self.generation()
-        base = self.next_seq()
-        frame = rows if "expires_at" in rows.columns else rows.withColumn("expires_at", F.lit(None).cast("bigint"))
-        if order_by:
-            frame = frame.repartitionByRange(order_by).sortWithinPartitions(order_by)
-        segment = uuid.uuid4().hex
-        staged = f"{self.path}/segments/_staged-{segment}"
-        frame.select(F.col("key").cast(self.kind).alias("key"), "op", F.col("value").cast(self.kind).alias("value"), F.col("expires_at").cast("bigint").alias("expires_at"), F.monotonically_increasing_id().alias("mid")).write.parquet(staged)
+        with self.lock:
+            frame = rows if "expires_at" in rows.columns else rows.withColumn("expires_at", F.lit(None).cast("bigint"))
+            if order_by:
+                frame = frame.repartitionByRange(order_by).sortWithinPartitions(order_by)
+            staged = f"{self.path}/segments/_staged-{uuid.uuid4().hex}"
+            key, op = F.col("key").cast(self.kind), F.col("op")
+            checked = F.when(key.isNull(), F.raise_error(F.lit("a key is null"))).otherwise(key)
+            known = F.when(F.coalesce(op.isin(PUT, DELETE), F.lit(False)), op).otherwise(F.raise_error(F.concat(F.lit("not an operation: "), F.coalesce(op, F.lit("null")))))
+            frame.select(checked.alias("key"), known.alias("op"), F.col("value").cast(self.kind).alias("value"), F.col("expires_at").cast("bigint").alias("expires_at"), F.monotonically_increasing_id().alias("mid")).write.parquet(staged)
+            try:
+                following = self._commit(staged)
+            finally:
+                self.fs.delete(staged)
+            if self.options.auto_compact:
+                self.compact()
+            return following
+
+    def _commit(self, staged: str) -> int:
+        """Numbers staged rows after all that is published, and publishes them; again if another writer was first."""
         read = self.spark.read.parquet(staged)
         part = F.shiftright("mid", 33)
         counts = sorted(read.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # a row for each task of the write
-        if not counts:
-            self.fs.delete(staged)
-            return base
-        first, offsets = base, []
-        for p, n in counts:
-            offsets.append((p, first))
-            first += n
-        offset = F.broadcast(self.spark.createDataFrame(offsets, "part bigint, first bigint"))
-        numbered = read.withColumn("part", part).join(offset, "part").withColumn("seq", F.col("first") + F.col("mid").bitwiseAND((1 << 33) - 1))
-        final = numbered.withColumn("batch_id", F.lit(generation + 1).cast("bigint")).select(*COLUMNS)
-        made = self._write_segment(final, f"segments/{segment}", 0)
-        self.fs.delete(staged)
-        self._publish(self._frame([*self._rows(self.manifest(generation)), made]), generation + 1)
-        self.flushes += 1
-        if self.options.auto_compact:
-            self.compact()
-        return first
+        for attempt in range(self.options.attempts):
+            generation = self.generation()
+            first, offsets = self.next_seq(generation), []
+            if not counts:
+                return first
+            for p, n in counts:
+                offsets.append((p, first))
+                first += n
+            offset = F.broadcast(self.spark.createDataFrame(offsets, "part bigint, first bigint"))
+            numbered = read.withColumn("part", part).join(offset, "part").withColumn("seq", F.col("first") + F.col("mid").bitwiseAND((1 << 33) - 1))
+            final = numbered.withColumn("batch_id", F.lit(generation + 1).cast("bigint")).select(*COLUMNS)
+            path = f"segments/{uuid.uuid4().hex}"
+            made = self._write_segment(final, path, 0)
+            try:
+                self._publish(self._frame([*self._rows(self.manifest(generation)), made]), generation + 1)
+            except Conflict:
+                self.fs.delete(f"{self.path}/{path}")
+                if attempt + 1 == self.options.attempts:
+                    raise
+                time.sleep(0.05 * random.random() * (attempt + 1))
+                continue
+            self.flushes += 1
+            return first
+        raise Conflict("no attempts")
 
     def _write_segment(self, log: DataFrame, path: str, level: int) -> tuple:
         rows = log.select(*COLUMNS)
@@ -231,31 +279,40 @@ class Store:
         older ones see may go.  Without it, the oldest that this handle holds, or now.
         """
         self._open()
-        done = 0
+        done = tries = 0
         while True:
-            generation = self.generation()
-            rows = self._rows(self.manifest(generation))
-            step = compaction.choose(rows, self.options, force and not done)
-            if step is None:
-                return done
-            chosen = [f"{self.path}/{r.path}" for r in step.sources]
-            log = self.spark.read.schema(changelog_schema(self.kind)).parquet(*chosen)
-            kept = compaction.rewrite(log, self.now(), step.complete, min([self.next_seq(), *self.held]) if retain is None else retain)
-            made = self._write_segment(kept, f"segments/{uuid.uuid4().hex}", step.target)
-            gone = {r.segment_id for r in step.sources}
-            rest = [r for r in rows if r.segment_id not in gone]
-            # Keeps the highest seq on record, also if its row went with the merge.
-            top = max(r.max_seq or 0 for r in step.sources)
-            made = (*made[:5], max(made[5] or 0, top), *made[6:])
-            self._publish(self._frame([*rest, made]), generation + 1)
-            self.compactions += 1
-            done += 1
-
-    def vacuum(self, keep_generations: int = 2) -> list[str]:
-        """Deletes segments that none of the last generations refers to, and unfinished writes."""
+            with self.lock:
+                generation = self.generation()
+                rows = self._rows(self.manifest(generation))
+                step = compaction.choose(rows, self.options, force and not done)
+                if step is None:
+                    return done
+                chosen = [f"{self.path}/{r.path}" for r in step.sources]
+                log = self.spark.read.schema(changelog_schema(self.kind)).parquet(*chosen)
+                kept = compaction.rewrite(log, self.now(), step.complete, min([self.next_seq(), *self.held]) if retain is None else retain)
+                path = f"segments/{uuid.uuid4().hex}"
+                made = self._write_segment(kept, path, step.target)
+                gone = {r.segment_id for r in step.sources}
+                rest = [r for r in rows if r.segment_id not in gone]
+                # Keeps the highest seq on record, also if its row went with the merge.
+                top = max(r.max_seq or 0 for r in step.sources)
+                made = (*made[:5], max(made[5] or 0, top), *made[6:])
+                try:
+                    self._publish(self._frame([*rest, made]), generation + 1)
+                except Conflict:
+                    self.fs.delete(f"{self.path}/{path}")
+                    tries += 1
+                    if tries == self.options.attempts:
+                        raise
+                    continue
+                self.compactions += 1
+                done += 1
+
+    def vacuum(self, keep_generations: int = 2, older_than: float = 3600.0) -> list[str]:
+        """Deletes segments that none of the last generations refers to, and unfinished writes, of an age in seconds."""
         last = self.generation()
         used = {r.path.split("/")[-1] for g in range(max(1, last - keep_generations + 1), last + 1) if self.fs.exists(f"{self.path}/manifest/{g:08d}") for r in self.manifest(g).select("path").collect()}
-        gone = [n for n in self.fs.names(f"{self.path}/segments") if n not in used]
+        gone = [n for n in self.fs.names(f"{self.path}/segments") if n not in used and self.fs.age(f"{self.path}/segments/{n}") >= older_than]
         for n in gone:
             self.fs.delete(f"{self.path}/segments/{n}")
         return gone
@@ -302,4 +359,7 @@ class Store:
             raise Closed(self.path)
 
     def close(self) -> None:
-        self.closed = True
+        """Waits for a running write, releases the handle's snapshots, and refuses what comes after."""
+        with self.lock:
+            self.held.clear()
+            self.closed = True

@@ -26,7 +26,7 @@ def test_hex_text_and_uptime(spark):
     got = rows.select(scalars.spaced_hex(F.col("v")), scalars.shown(F.col("v")), scalars.lossy_text(F.col("v"))).collect()
     assert [tuple(r) for r in got] == [("ff 00 61", "ff 00 61", "�\0a"), ("6f 6b", "ok", "ok"), ("", "", "")]
     ups = spark.createDataFrame([(0,), (61,), (3600,), (90061,)], "s bigint").select(scalars.uptime(F.col("s"))).collect()
-    assert [r[0] for r in ups] == ["0s", "1m 1s", "1h 0m 0s", "1d 1h 1m 1s"]
+    assert [r[0] for r in ups] == ["0m 0s", "1m 1s", "1h 0m 0s", "1d 1h 1m 1s"]
 
 
 @pytest.mark.parametrize("a,b,n", [("abc", "abd", 2), ("abc", "abc", 3), ("", "a", 0), ("é", "è", 1), (None, "a", 0), ("ab", "abc", 2)])

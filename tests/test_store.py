@@ -76,7 +76,7 @@ def test_compaction_levels_and_retained_snapshots(spark, store):
     store.write_batch(WriteBatch().delete("k"))
     store.compact(force=True)
     assert store.scan().count() == 0 and store.next_seq() > snapshot
-    assert store.vacuum(1) and store.scan().count() == 0
+    assert not store.vacuum(1) and store.vacuum(1, 0) and store.scan().count() == 0
 
 
 def test_repair_sets_damage_aside(spark, store, tmp_path):
@@ -98,11 +98,57 @@ def test_one_writer_wins(store):
     store.put("a", "1")
     with pytest.raises(Conflict):
         store._publish(store.manifest(), store.generation())
+    assert store.manifest().count() == 1 and [n for n in store.fs.names(f"{store.path}/manifest") if n.startswith("_")] == []
     store.close()
     with pytest.raises(Closed):
         store.put("a", "2")
 
 
+def test_a_dead_writer_does_not_wedge_the_store(spark, store, clock):
+    store.put("a", "1")
+    claim = f"{store.path}/manifest/_claim-{store.generation() + 1:08d}"
+    store.fs.create_new(claim)
+    hasty = Store.open(spark, store.path, Options(claim_seconds=3600, attempts=2), clock)
+    with pytest.raises(Conflict):  # its writer may still be at it
+        hasty.put("b", "2")
+    patient = Store.open(spark, store.path, Options(claim_seconds=0.0), clock)
+    patient.put("b", "2")
+    store.fs.create_new(f"{store.path}/manifest/_claim-{patient.generation() + 1:08d}")
+    report = Store.repair(spark, store.path, Options(claim_seconds=0.0))
+    assert not report.corrupted and sorted(r.key for r in Store.open(spark, store.path, clock=clock).scan().collect()) == ["a", "b"]
+
+
+def test_vacuum_during_a_write(spark, store, clock, monkeypatch):
+    """A clean-up between a segment and its publication leaves it alone, or makes the write start again."""
+    publish = Store._publish
+    for age in (3600.0, 0.0):
+        calls = []
+
+        def late(self, segments, generation, age=age, calls=calls):
+            if not calls:
+                calls.append(Store.open(spark, store.path, clock=clock).vacuum(older_than=age))
+            publish(self, segments, generation)
+
+        monkeypatch.setattr(Store, "_publish", late)
+        if age:
+            store.put("k", "1")
+            assert calls == [[]]
+        else:  # the staged rows went as well: the write fails as a whole, and the store is as it was
+            with pytest.raises(Exception, match="_staged|PATH_NOT_FOUND|not exist"):
+                store.put("lost", "1")
+        monkeypatch.setattr(Store, "_publish", publish)
+        assert [r.key for r in store.scan().collect()] == ["k"]
+    store.put("l", "2")
+    assert [r.key for r in store.scan().collect()] == ["k", "l"]
+
+
+def test_bad_rows_are_refused(spark, store):
+    for key, op in ((None, "P"), ("k", "X"), ("k", None)):
+        with pytest.raises(Exception, match="a key is null|not an operation"):
+            store.append(spark.createDataFrame([(op, key, "v")], "op string, key string, value string"))
+    assert store.generation() == 0
+
+
 def test_http_and_cli(spark, store, capsys):
     import json
 
