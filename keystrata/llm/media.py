@@ -6,7 +6,8 @@ a multi-page TIFF.  ``text_media`` is the digest query's form: text -> padded pa
 pages read back -> features.
 
 Defined results: null text counts as empty; a null or empty media value has no pages; a damaged file
-raises ``ValueError`` in ``read_pages`` and gives one row with ``error`` set in ``tiff_pages``.
+raises ``ValueError`` in ``read_pages`` and gives one row with ``error`` set in ``tiff_pages``, also one that
+claims more than its bytes can hold.  Images of 1, 2 or 4 bits a sample are refused that way.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
 
+#: Bytes that a stored byte can stand for (LZW: strings of up to 3839 bytes in 9 to 12 bits), and bytes of a strip or tile, at most.
+EXPANSION, MOST_BLOCK = 4096, 1 << 30
+
 #: Layout of stored payloads: bytes per row, rows per page, rows per strip.
 ROW_BYTES, PAGE_ROWS, STRIP_ROWS = 192, 1024, 256
 
@@ -232,6 +236,8 @@ def read_pages(data: bytes | None) -> Iterator[Page]:
         if bits not in (8, 16) or set(tags.get(BITS, (bits,))) != {bits}:
             raise ValueError(f"{tags.get(BITS)} bits a sample are not supported")
         kind = np.dtype({8: "u1", 16: end + "u2"}[bits])
+        if samples < 1 or planar not in (1, 2):
+            raise ValueError(f"{samples} samples in planar configuration {planar} are not supported")
         tiled = TILE_OFFSETS in tags
         if tiled:
             block_w, block_h, offsets, counts = one(TILE_WIDTH), one(TILE_LENGTH), tags[TILE_OFFSETS], tags.get(TILE_COUNTS, ())
@@ -245,6 +251,11 @@ def read_pages(data: bytes | None) -> Iterator[Page]:
         across, down, deep = -(-width // block_w), -(-height // block_h), samples if planar == 2 else 1
         if len(offsets) < across * down * deep or len(counts) < across * down * deep:
             raise ValueError("too few strips or tiles")
+        # No codec makes more of a byte than this, so what is claimed must be there before memory is taken for it.
+        if width * height * samples * kind.itemsize > EXPANSION * max(1, sum(counts[: across * down * deep])) or sum(counts[: across * down * deep]) > EXPANSION * len(data):
+            raise ValueError("the page is larger than its data can be")
+        if block_w * block_h * kind.itemsize * samples > MOST_BLOCK:
+            raise ValueError("a strip or tile is too large")
         image = np.empty((height, width, samples), kind.newbyteorder("="))
         per = samples // deep
         for k in range(across * down * deep):
@@ -318,7 +329,7 @@ def tiff_pages(df: DataFrame, id_col: str = "id", media_col: str = "media") -> D
         for i, media in enumerate(part.column(1).to_pylist()):
             try:
                 found = [(*p, None) for p in read_pages(media)]
-            except ValueError as e:
+            except (ValueError, struct.error, OverflowError, MemoryError) as e:
                 found = [(None,) * 7 + (str(e),)]
             ids += [i] * len(found)
             rows += found

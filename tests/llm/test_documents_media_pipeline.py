@@ -119,6 +119,31 @@ def test_pages_of_damaged_files(spark):
     assert got == [(1, 0, True), (1, 1, True), (2, None, False), (5, None, False)]
 
 
+def test_hostile_files_give_an_error_row(spark):
+    """Sizes and tags that no data backs, and every kind of damage, are errors of one row each."""
+    import struct
+
+    rng = np.random.default_rng(3)
+    image = rng.integers(0, 255, (9, 7, 3)).astype(np.uint8)
+    files = [media.write_tiff([image], c, 1 + k % 2, 4, (16, 16) if k % 3 == 0 else None) for k, c in enumerate([media.NONE, media.LZW, media.DEFLATE, media.PACKBITS] * 2)]
+    hostile = []
+    for raw in files:
+        (at,) = struct.unpack_from("<I", raw, 4)
+        for k in range(struct.unpack_from("<H", raw, at)[0]):
+            for value in (0, 2, 2_000_000, 0xFFFFFFFF):
+                bad = bytearray(raw)
+                struct.pack_into("<I", bad, at + 10 + 12 * k, value)
+                hostile.append(bytes(bad))
+        for _ in range(60):
+            bad = bytearray(raw)
+            for _ in range(rng.integers(1, 6)):
+                bad[rng.integers(0, len(bad))] = rng.integers(0, 256)
+            hostile.append(bytes(bad[: rng.integers(1, len(bad) + 1)]))
+    rows = spark.createDataFrame([(k, h) for k, h in enumerate([*hostile, files[1]])], "id bigint, media binary")
+    got = media.tiff_pages(rows).collect()
+    assert {r.id for r in got} >= {r.id for r in got if r.error} and got[-1].error is None and sum(r.error is not None for r in got) > 100
+
+
 def test_text_media(spark):
     texts = [None, "", "x", "é" * 96, "a" * 192, "long " * 90_000, "x"]
     docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id bigint, text string, media int")
@@ -150,6 +175,21 @@ def test_stages_of_the_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).exceptAll(docs).count() == 0
 
 
+def test_stages_remove_what_they_should(spark):
+    """Copies go but one, a passage that repeats goes but once, a document with one benchmark window goes; clean ones stay."""
+    stages = dict(corpus_pipeline.STAGES)
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 60").first().text
+    passage = words("p", 60)
+    texts = {1: words("a", 90), 2: words("a", 90), 3: f"{words('b', 40)} {passage} {words('c', 40)}", 4: f"{words('d', 50)} {passage}", 5: f"{words('e', 30)} {item} {words('f', 30)}", 6: words("g", 70)}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    ids = lambda frame: sorted(r.doc_id for r in frame.collect())
+    assert ids(stages["SimHash near-dedup"](spark, docs, SF)) == [1, 3, 4, 5, 6]
+    left = {r.doc_id: r.text for r in stages["suffix-array dedup"](spark, docs, SF).collect()}
+    assert passage in left[3] and "p30" not in left[4] and left[6] == texts[6] and left[2] == ""
+    assert ids(stages["benchmark decontamination"](spark, docs, SF)) == [1, 2, 3, 4, 6]
+
+
 def test_stages_on_odd_rows(spark):
     rows = [(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "few words", "en", "s", 9), (3, "few words", "en", "s", 9), (4, "z" * 50_000, None, None, 50_000)]
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, hits string, fp int")
