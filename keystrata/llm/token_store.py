@@ -52,7 +52,7 @@ class WordCoder:
     each is one piece, and only a piece's last token has the end mark.
     """
 
-    def __init__(self, path: str, cap: int = 260_000):
+    def __init__(self, path: str, cap: int = 260_000, chars: int = 32 << 20):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -65,7 +65,7 @@ class WordCoder:
         # Two generations: what the last ``cap`` runs had is still found, so frequent runs stay.
         self.known: dict[str, bytes] = {"": b""}
         self.before: dict[str, bytes] = {}
-        self.cap = cap
+        self.cap, self.chars, self.held = cap, chars, 0
 
     def _singly(self, runs: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(runs, add_special_tokens=False)]
@@ -104,10 +104,11 @@ class WordCoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``width`` bytes."""
         split = [self._runs(t) for t in texts]
-        if len(self.known) > self.cap:
-            self.known, self.before = {"": b""}, self.known
+        if len(self.known) > self.cap or self.held > self.chars:
+            self.known, self.before, self.held = {"": b""}, self.known if self.held <= 2 * self.chars else {}, 0
         known, before = self.known, self.before
         new = set().union(*split).difference(known)
+        self.held += sum(map(len, new))
         old = new.intersection(before)
         known.update([(w, before[w]) for w in old])
         self._learn(list(new - old))
@@ -241,10 +242,14 @@ def store_digest(spark: SparkSession, where: str) -> DataFrame:
 
 def _read(spark: SparkSession, where: str, schema: str, names: list[str], kind: pa.DataType, value) -> DataFrame:
     stored = spark.read.parquet(f"{where}/shards")
-    order = Window.orderBy("part", "k").rowsBetween(Window.unboundedPreceding, -1)
-    # One small row for each shard of several MB: the offsets of all shards fit one task.
-    starts = stored.select("part", "k", "n_tokens").withColumn("start", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).drop("n_tokens")
-    placed = stored.select("part", "k", "image").join(F.broadcast(starts), ["part", "k"]).select("start", "image")
+    order = Window.partitionBy("part").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    # Ids before a shard: those of the parts before its part (a row a part, summed up in one task), and of shards before it inside.
+    sizes = stored.select("part", "k", "n_tokens")
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    within = sizes.withColumn("inside", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).drop("n_tokens")
+    # Broadcast or not by Spark's own check of the size.
+    starts = within.join(parts, "part").select("part", "k", (F.col("ahead") + F.col("inside")).alias("start"))
+    placed = stored.select("part", "k", "image").join(starts, ["part", "k"]).select("start", "image")
     dictionary = spark.sparkContext.broadcast(bytes(spark.read.parquet(f"{where}/dictionary").first().dictionary))
 
     def read(batches):
