@@ -89,18 +89,26 @@ def fold(remainder: int, modulus: int, id_col="doc_id"):
 
 
 class Cache(dict):
-    """Bounded memo of a pure function: two generations, so frequent keys survive a clean-out."""
+    """Memo of a pure function, bounded in entries and in characters or bytes of keys and values.
 
-    def __init__(self, fn: Callable, cap: int = 120_000):
+    Two generations, so frequent keys survive a clean-out.
+    """
+
+    def __init__(self, fn: Callable, cap: int = 120_000, size: int = 32 << 20):
         super().__init__()
-        self.fn, self.cap, self.old = fn, cap, {}
+        self.fn, self.cap, self.limit, self.size, self.old = fn, cap, size, 0, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.fn(key)
-        if len(self) >= self.cap:
+        more = len(key) + len(value)
+        if more > self.limit // 16:  # remembered for itself, such an entry would drive out all others
+            return value
+        self.size += more
+        if len(self) >= self.cap or self.size > self.limit:
             self.old = dict(self)
             self.clear()
+            self.size = more
         self[key] = value
         return value

@@ -11,9 +11,11 @@ class _Codes(dict):
     def __init__(self):
         super().__init__()
         self.tokens: list[str] = []
+        self.chars = 0
 
     def __missing__(self, token: str) -> int:
         code = self[token] = len(self.tokens)
+        self.chars += len(token)
         self.tokens.append(token)
         return code
 
@@ -24,8 +26,8 @@ class Reader:
     ``cleared`` counts how often; codes of one count stay what they are.
     """
 
-    def __init__(self, cap: int = 300_000):
-        self.cap, self.cleared = cap, 0
+    def __init__(self, cap: int = 300_000, chars: int = 32 << 20):
+        self.cap, self.chars, self.cleared = cap, chars, 0
         self.clear()
 
     def clear(self) -> None:
@@ -35,7 +37,7 @@ class Reader:
 
     def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the text's tokens; positions after which a line ends."""
-        if len(self.tokens) > self.cap:
+        if len(self.tokens) > self.cap or self.codes.chars > self.chars:
             self.clear()
         code, out, lines = self.codes.__getitem__, [], []
         for line in text.split("\n"):
@@ -56,11 +58,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out, rows: int
     every = max(1, round(open_.count() / rows))
     chosen = open_.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("body")).where(F.length("body") <= chars // 16).join(F.broadcast(chosen), "doc_id")
-    found, y, held = [], [], 0
-    for r in texts.orderBy(F.xxhash64("doc_id"), "doc_id", "body").toLocalIterator():
-        held += len(r.body)
+    # Ids and lengths first: of the texts, only those that fit in `chars` are sent.
+    sized, fit, held = texts.groupBy("doc_id").agg(F.sum(F.length("body")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id"), [], 0
+    for r in sized.collect():
+        held += r.n
         if held > chars:
             break
-        found.append(r.body)
-        y.append(r.y)
-    return found, np.array(y, float)
+        fit.append((r.doc_id,))
+    if not fit:
+        return [], np.zeros(0)
+    wanted = docs.sparkSession.createDataFrame(fit, texts.select("doc_id").schema)
+    rows = texts.join(F.broadcast(wanted), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "body").select("body", "y").collect()
+    return [r.body for r in rows], np.array([r.y for r in rows], float)

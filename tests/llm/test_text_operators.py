@@ -257,6 +257,34 @@ def test_offending_sentences_are_found(spark):
     assert [(r.doc_id, r.sentence) for r in got] == [(1, 1)] and "idiot" in got[0].text
 
 
+def test_scores_equal_naive_ones(spark, odd):
+    """Noisy-or sentence by sentence, and all pairs of features, on the operators' own rows and models."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    some = docs.where("doc_id < 40").select("doc_id", "text").union(odd.where("doc_id in (1, 2, 3)").selectExpr("doc_id + 1000000", "text"))
+    texts = {r.doc_id: r.text or "" for r in some.collect()}
+    model = toxicity.fit(docs, labels)
+    for r in toxicity.score(some, model).collect():
+        clean, sentence = 1.0, []
+        for line in texts[r.doc_id].split("\n"):
+            for k, token in enumerate(words := line.split()):
+                sentence.append(token)
+                if toxicity.ends_sentence(token) or k + 1 == len(words):
+                    z = model.bias + sum(float(model.weights[i]) for t in sentence for i in toxicity.features(t))
+                    clean *= 1 - 1 / (1 + np.exp(-z))
+                    sentence = []
+        expected = -np.log(max(clean, 1e-300))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(model.slope * np.log(expected + 1e-6) + model.offset))), rel=1e-4, abs=1e-6)
+    model, made = quality.fit(docs, labels), quality.Featurizer()
+    for r in quality.score(some, model).collect():
+        marks, values, stats = made(texts[r.doc_id])
+        x = dict(zip(marks.tolist(), values.tolist(), strict=True))
+        x |= {quality.BUCKETS + k: v for k, v in enumerate(np.clip((stats - model.mean) / model.scale, -4, 4).tolist())}
+        used = [i for i in x if model.w[i] or model.v[i].any()]
+        z = model.w0 + sum(float(model.w[i]) * x[i] for i in used)
+        z += sum(float(model.v[i] @ model.v[j]) * x[i] * x[j] for n, i in enumerate(used) for j in used[:n])
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-3, abs=1e-5)
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(0)
     n = len(quality.STATS)
