@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Cache, map_slices
 
-LEAF = 12  #: bytes that are merged directly; longer words are halved and joined
+LEAF = 16  #: bytes that are merged directly; longer words are halved and joined
 FAR = 1 << 60
 
 
