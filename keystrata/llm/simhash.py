@@ -10,6 +10,9 @@ cost, from candidate counts on a bounded sample of fingerprints.  For a part of
 is filed under its bits there and under all values with up to t of its set bits cleared; two
 fingerprints that differ there in d <= t bits meet at the value both can reach.  Those that meet are
 verified on all 64 bits.  Each task hands on a spanning forest of the links it verified, never all pairs.
+A value that very many share is split by the bits outside its part: of DISTANCE + 1 groups of them, two
+linked fingerprints agree in one, so they meet under that group's value too.  Splitting loses no link,
+whichever values are split, so counts by hashed value, of bounded number, may choose them.
 
 Defined results: null text has no words, so fingerprint zero, and is linked like any other; null ids take
 part, a component's id is its smallest non-null id; repeated rows get equal results.
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_slices, shared_dir
-from .components import connected_components
+from .components import connected_components, hand_back
 from .decontaminate import _free
 from .repeats import NULL_ID
 
@@ -37,7 +40,8 @@ SHINGLE, SEED, DISTANCE, BITS = 4, 42, 4, 64
 SAMPLE = 1500
 #: Rows of one value that are compared pair by pair at once; larger groups are searched breadth-first.
 SMALL = 24
-SALTS = 16
+#: Bins that filings are counted in, by hash of their value, and filings of a bin from which its values are split.
+BINS, CROWDED = 1 << 18, 100_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -173,12 +177,15 @@ def _search(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (prints[:0], prints[:0])
 
 
-def verified_links(part: np.ndarray, value: np.ndarray, cleared: np.ndarray, prints: np.ndarray, thresholds: tuple[int, ...], distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between fingerprints that were filed under the same value."""
-    order = np.lexsort((prints, value, part))
-    part, value, cleared, prints = part[order], value[order], cleared[order], prints[order]
+def verified_links(part: np.ndarray, value: np.ndarray, cleared: np.ndarray, prints: np.ndarray, group: np.ndarray, rest: np.ndarray, thresholds: tuple[int, ...], distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between fingerprints that were filed under the same value.
+
+    ``group`` and ``rest``: for split values, the group of other bits and its value; elsewhere the same for all.
+    """
+    order = np.lexsort((prints, rest, group, value, part))
+    part, value, cleared, prints, group, rest = (x[order] for x in (part, value, cleared, prints, group, rest))
     fresh = np.ones(len(part), bool)
-    fresh[1:] = (part[1:] != part[:-1]) | (value[1:] != value[:-1])
+    fresh[1:] = (part[1:] != part[:-1]) | (value[1:] != value[:-1]) | (group[1:] != group[:-1]) | (rest[1:] != rest[:-1])
     starts = np.flatnonzero(fresh)
     sizes = np.diff(np.append(starts, len(part)))
     size = np.repeat(sizes, sizes)
@@ -213,7 +220,26 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return map_slices(source, "body", "doc_id bigint, row bigint, fp bigint", run).checkpoint()
 
 
-def links(distinct: DataFrame, plan: Plan, parts: int, distance: int = DISTANCE) -> DataFrame:
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
+def _split_values(filed: DataFrame, plan: Plan, distance: int, crowded: int) -> DataFrame:
+    """Filings with (group, rest): those of crowded values once for each group of the bits outside their part."""
+    bin_of = F.pmod(F.xxhash64("part", "value"), F.lit(BINS)).cast("int").alias("bin")
+    counts = filed.groupBy(bin_of).count()
+    rows = counts.agg(F.sum("count")).first()[0] or 0
+    full = counts.where(F.col("count") > max(crowded, 4 * rows // BINS)).select("bin", F.lit(True).alias("full"))  # BINS rows at most
+    groups = F.array(F.struct(F.lit(-1).cast("tinyint").alias("group"), F.lit(0).cast("bigint").alias("rest")))
+    for p, mask in enumerate(plan.masks):
+        free = [b for b in range(BITS) if not mask >> b & 1]
+        masks = [_signed(sum(1 << b for b in free[g :: distance + 1])) for g in range(distance + 1)]
+        others = F.array(*(F.struct(F.lit(g).cast("tinyint").alias("group"), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).alias("rest")) for g, m in enumerate(masks)))
+        groups = F.when(F.col("full") & (F.col("part") == p), others).otherwise(groups)
+    return filed.select("*", bin_of).join(F.broadcast(full), "bin", "left").select("part", "value", "cleared", "fp", F.inline(groups))
+
+
+def links(distinct: DataFrame, plan: Plan, parts: int, distance: int = DISTANCE, crowded: int = CROWDED) -> DataFrame:
     """Links (a, b) that connect all fingerprints within ``distance`` bits of another."""
 
     def file(batches):
@@ -226,12 +252,12 @@ def links(distinct: DataFrame, plan: Plan, parts: int, distance: int = DISTANCE)
     def verify(batches):
         held = [[c.to_numpy() for c in batch.columns] for batch in batches]
         if held:
-            part, value, cleared, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            a, b = verified_links(part, value.view(np.uint64), cleared, fp.view(np.uint64), plan.thresholds, distance)
+            part, value, cleared, fp, group, rest = (np.concatenate(x) for x in zip(*held, strict=True))
+            a, b = verified_links(part, value.view(np.uint64), cleared, fp.view(np.uint64), group, rest, plan.thresholds, distance)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     filed = distinct.select("fp").mapInArrow(file, "part tinyint, value bigint, cleared tinyint, fp bigint")
-    return filed.repartition(parts, "part", "value").mapInArrow(verify, "a bigint, b bigint")
+    return _split_values(filed, plan, distance, crowded).repartition(parts, "part", "value", "group", "rest").mapInArrow(verify, "a bigint, b bigint")
 
 
 def classes_of(distinct: DataFrame, distance: int) -> DataFrame:
@@ -250,11 +276,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = fingerprint_table(docs, id_col, text_col)
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")).checkpoint()
     classes = classes_of(distinct, distance)
-    # A component may hold a third of all fingerprints: they meet its one smallest id in SALTS tasks.
-    linked = distinct.join(classes, "fp").withColumn("salt", F.pmod(F.xxhash64("fp", F.lit("salt")), F.lit(SALTS)).cast("int"))
-    least = linked.groupBy("component").agg(F.min("first_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked = distinct.join(classes, "fp")
+    least = linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
     lone = distinct.join(classes, "fp", "left_anti").select("fp", F.col("first_id").alias("component_id"))
-    placed = linked.join(least, ["component", "salt"]).select("fp", "component_id").union(lone)
+    placed = hand_back(linked, least, "component").select("fp", "component_id").union(lone)
     return prints.join(placed, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -300,17 +300,35 @@ def test_plans_lose_no_link(total):
     prints = np.unique(np.array(prints, np.uint64))
     plan = simhash.make_plan(prints[::3], total)
     assert sum(t + 1 for t in plan.thresholds) == 5 and sum(plan.masks) == (1 << 64) - 1
-    a, b = simhash.verified_links(*simhash.file_rows(prints, plan), plan.thresholds)
+    filed = simhash.file_rows(prints, plan)
+    whole = np.zeros(len(filed[0]), np.int64)
+    a, b = simhash.verified_links(*filed, whole, whole, plan.thresholds)
     at = {int(p): k for k, p in enumerate(prints)}
     got = smallest(range(len(prints)), [(at[int(x)], at[int(y)]) for x, y in zip(a, b, strict=True)])
     near = [(i, j) for i in range(len(prints)) for j in np.flatnonzero(np.bitwise_count(prints[:i] ^ prints[i]) <= 4)]
     assert got == smallest(range(len(prints)), near)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("crowded", [0, 40, 10**6])
+def test_split_values_lose_no_link(spark, crowded):
+    """Two parts of 32 bits, most of it equal: values that all, some or none of which are split by other bits."""
+    rng = np.random.default_rng(crowded % 89)
+    prints = {int(x) ^ 1 << int(b) ^ 1 << int(c) for x in rng.integers(0, 1 << 62, 12) for b, c in rng.integers(0, 64, (25, 2))}
+    prints |= {(int(x) & 0xFFFFFFFF) | 0xABCD << 40 for x in rng.integers(0, 1 << 62, 300)}
+    prints = np.array(sorted(prints), np.uint64)
+    plan = simhash.Plan((0xFFFFFFFF, 0xFFFFFFFF << 32), (2, 1))
+    distinct = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp bigint")
+    got = simhash.links(distinct, plan, 5, crowded=crowded).collect()
+    at = {int(p): k for k, p in enumerate(prints.view(np.int64))}
+    near = [(i, int(j)) for i in range(len(prints)) for j in np.flatnonzero(np.bitwise_count(prints[:i] ^ prints[i]) <= 4)]
+    assert near and smallest(range(len(prints)), [(at[r.a], at[r.b]) for r in got]) == smallest(range(len(prints)), near)
+
+
+@pytest.mark.parametrize("crowd", [1 << 20, 7])
+def test_components(spark, crowd):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 80)] + [(rng.randint(300, 400), rng.randint(300, 400)) for _ in range(70)] + [(5, 5), (None, 3)]
-    got = {r.vertex: r.component for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    got = {r.vertex: r.component for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint"), crowd=crowd).collect()}
     real = [(a, b) for a, b in links if a is not None and a != b]
     assert got == smallest({x for link in real for x in link}, real)
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
