@@ -18,14 +18,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, map_slices
+from .common import Cache, map_slices, worker_memo
 
 LEAF = 16  #: bytes that are merged directly; longer words are halved and joined
 FAR = 1 << 60
@@ -115,7 +114,7 @@ class RankBPE:
         return all(self.direct(k) == [v] for k, v in self.ranks.items())
 
 
-@lru_cache(maxsize=4)
+@worker_memo(4)
 def load_ranks(path: str) -> RankBPE:
     with open(path, "rb") as f:
         return RankBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
@@ -140,7 +139,7 @@ class TextCoder:
         return b"".join([back[ids] for ids in encoded])
 
 
-@lru_cache(maxsize=4)
+@worker_memo(4)
 def text_coder(path: str, pattern: str) -> TextCoder:
     return TextCoder(path, pattern)
 

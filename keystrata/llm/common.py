@@ -7,8 +7,10 @@ clashing columns of the caller never matter), and returns its own columns.  Pyth
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -55,6 +57,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_clears: list[tuple[str, Callable]] = []
+
+
+def forgets(module: str, clear: Callable) -> None:
+    """``clear`` empties what the operator in ``module`` keeps in a worker between its tasks."""
+    _clears.append((module, clear))
+
+
+def worker_memo(maxsize: int) -> Callable:
+    """``lru_cache`` of what outlives an operator's tasks in a worker, until another operator comes."""
+
+    def wrap(fn: Callable) -> Callable:
+        made = lru_cache(maxsize)(fn)
+        forgets(fn.__module__, made.cache_clear)
+        return made
+
+    return wrap
+
+
+@lru_cache(maxsize=1)
+def _malloc_trim() -> Callable:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def trim() -> None:
+    """Gives memory that this worker has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim()(0)
+
+
+def lean(module: str) -> None:
+    """Drops what operators of other modules than ``module`` left in this worker."""
+    for owner, clear in _clears:
+        if owner != module:
+            clear()
+    trim()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that ``column`` holds about ``limit`` bytes in each (one row at least)."""
     for batch in batches:
@@ -75,10 +115,13 @@ def map_slices(df: DataFrame, column: str, schema: str, fn: Callable[[pa.RecordB
     at = df.columns.index(column)
 
     def run(batches):
+        lean(fn.__module__)
         for part in slices(batches, at, limit):
             out = fn(part)
             if out is not None and out.num_rows:
                 yield out
+            del out
+        trim()
 
     return df.mapInArrow(run, schema)
 

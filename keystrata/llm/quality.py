@@ -18,7 +18,6 @@ missing labels are not learnt from; without labels of both kinds every score is
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 from itertools import groupby
 from typing import NamedTuple
 
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_slices
+from .common import fold, map_slices, worker_memo
 from .learning import Reader, labelled
 
 BUCKETS, FACTORS = 1 << 18, 8
@@ -100,7 +99,7 @@ class Featurizer:
         return marks, values, stats
 
 
-@lru_cache(maxsize=1)
+@worker_memo(1)
 def featurizer() -> Featurizer:
     """The worker's featurizer: what it knows of tokens outlives a task."""
     return Featurizer()

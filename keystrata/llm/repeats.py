@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bucketed, shared_path, slices
+from .common import bucketed, lean, shared_path, slices, trim
 from .tree import COPY, INFO, MARKS, RUNS, Tree, blobs, by_target, from_blob, info_rows, mix, to_blob
 
 SHARD_BYTES = 4 << 20
@@ -275,7 +275,9 @@ def merge_node(tree: Tree, method: Method, level: int) -> Callable:
             return table
         parts = [Runs(*from_blob(b, *RUN_KINDS, method.payload)) for _, b in blobs(table, RUNS)]
         child = np.repeat(np.arange(len(parts)), [len(p.n) for p in parts])
-        return info_rows(merged_rows(tree, method, Runs.joined(parts), child, target, level))
+        out = info_rows(merged_rows(tree, method, Runs.joined(parts), child, target, level))
+        trim()
+        return out
 
     return run
 
@@ -344,7 +346,10 @@ class Dealt(NamedTuple):
         told, kind = self.copies if rows is None else self.copies.union(rows), self.schema
 
         def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-            return fn(key, unpack(left, kind), right)
+            lean(fn.__module__)
+            out = fn(key, unpack(left, kind), right)
+            trim()
+            return out
 
         return self.shards.select("target", "blob").groupBy("target").cogroup(told.groupBy("target")).applyInArrow(run, schema)
 
@@ -376,6 +381,8 @@ def packer(tasks: int, size: int) -> Callable:
                 k, held, so_far = k + 1, [], 0
         if held:
             yield row()
+        held.clear()
+        trim()
 
     return run
 

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, slices
+from .common import shared_path, slices, worker_memo
 
 MAGIC, TAIL = b"KTS1", b"KTSX"
 HEAD, ENTRY, FOOT = struct.Struct("<4sB3xQ16s"), np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("tokens", "<u8")]), struct.Struct("<Q4s")
@@ -115,7 +115,7 @@ class WordCoder:
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
-@lru_cache(maxsize=2)
+@worker_memo(2)
 def word_coder(path: str) -> WordCoder:
     return WordCoder(path)
 

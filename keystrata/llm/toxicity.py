@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, fold, map_slices
+from .common import Cache, fold, forgets, map_slices
 from .learning import Reader, labelled
 
 BUCKETS = 1 << 19
@@ -183,6 +183,7 @@ class Scorer:
 
 
 _scorers: dict[int, Scorer] = {}
+forgets(__name__, _scorers.clear)
 
 
 def scorer_of(model: Model) -> Scorer:
