@@ -20,10 +20,10 @@ are ordered by text; an empty table gives a store without shards.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import zlib
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -39,17 +39,47 @@ HEAD, ENTRY, FOOT = struct.Struct("<4sB3xQ16s"), np.dtype([("id", "<i8"), ("null
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES, SHARD_TEXT = 1000, 8192, 64 << 10, 8 << 20
 
 
-ODD_MARK = re.compile(r"(?:[^\w\s]|[_\x1c-\x1f])[,.] ")
+def _byte_classes() -> tuple[bytes, bytes, bytes]:
+    """For Latin-1 bytes: lower case, class of each, and for (class before) * 8 + class whether a run starts there.
+
+    Every piece of the tokenizer is a run of letters, one digit, a run of other marks, or an apostrophe with
+    letters.  So a run may start after white space, at and after a digit, at a mark after a letter, and at
+    a letter after a mark that is no apostrophe.  Control characters and rare white space are left inside runs.
+    """
+    space, letter, digit, mark, apostrophe, rest = range(6)
+    lower, kind = bytearray(range(256)), bytearray([mark] * 256)
+    for k in range(256):
+        c = chr(k)
+        low = c.lower()
+        lower[k] = ord(low) if len(low) == 1 and ord(low) < 256 else k
+        if c in " \t\n\r":
+            kind[k] = space
+        elif c.isspace() or k < 32 or 127 <= k < 160 or k == 0xAD:
+            kind[k] = rest
+        elif c.isalpha():
+            kind[k] = letter
+        elif c.isnumeric():
+            kind[k] = digit
+    kind[ord("'")] = apostrophe
+    starts = bytearray(256)
+    for before in range(5):
+        for now in range(1, 5):
+            starts[before * 8 + now] = before == space or digit in (before, now) or (before == letter) != (now == letter) and (before, now) != (apostrophe, letter)
+    for now in range(1, 6):
+        starts[space * 8 + now] = 1
+    return bytes(lower), bytes(kind), bytes(starts)
+
+
+LOWER, KIND, STARTS = _byte_classes()
 
 
 class WordCoder:
-    """Ids by the tokenizers library, asked once per distinct run of text without ASCII white space.
+    """Ids by the tokenizers library, asked once per distinct run of text.
 
-    White space only separates: the normalizer keeps it apart and the split drops it, so a text's ids
-    are those of its runs one after the other.  To ask for fewer runs, texts of Latin-1 characters are
-    lower-cased first, as the normalizer would, and a comma or full stop between a word and a space is set
-    apart, unless the mark before it belongs to the same piece.  Runs of letters are asked for many at once:
-    each is one piece, and only a piece's last token has the end mark.
+    A text's ids are those of its runs one after the other.  Texts of Latin-1 characters are lower-cased, as the
+    normalizer would, and cut wherever a piece must end (``_byte_classes``), a whole batch at once; other
+    texts, and those that may hold special tokens, are cut at ASCII white space.  Runs of letters are
+    asked for many at once: each is one piece, and only a piece's last token has the end mark.
     """
 
     def __init__(self, path: str, cap: int = 260_000, chars: int = 32 << 20):
@@ -63,8 +93,8 @@ class WordCoder:
         for token, k in self.library.get_vocab(with_added_tokens=True).items():
             self.ends[k] = token.endswith("</w>")
         # Two generations: what the last ``cap`` runs had is still found, so frequent runs stay.
-        self.known: dict[str, bytes] = {"": b""}
-        self.before: dict[str, bytes] = {}
+        self.known: dict[str | bytes, bytes] = {"": b""}  # runs of Latin-1 texts are bytes
+        self.before: dict[str | bytes, bytes] = {}
         self.cap, self.chars, self.held = cap, chars, 0
 
     def _singly(self, runs: list[str]) -> list[bytes]:
@@ -79,40 +109,69 @@ class WordCoder:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
 
-    def _learn(self, runs: list[str]) -> None:
-        plain = [r for r in runs if r.isalpha()]
+    def _learn(self, keys: list[str | bytes], runs: list[str]) -> None:
+        """Asks for ``runs`` and files them under ``keys``."""
+        letters = [r.isalpha() for r in runs]
+        plain, names = list(compress(runs, letters)), list(compress(keys, letters))
         for k in range(0, len(plain), 1000):
-            chunk = plain[k : k + 1000]
-            self.known.update(zip(chunk, self._together(chunk), strict=True))
-        other = [r for r in runs if not r.isalpha()]
-        self.known.update(zip(other, self._singly(other), strict=True))
-
-    @staticmethod
-    def _runs(text: str) -> list[str]:
-        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text.split(" ")
-        if "<|" in text:  # special tokens are matched before the normalizer, in lower case only
-            return text.split(" ")
-        text = text.lower()
-        if not ODD_MARK.search(text):
-            text = text.replace(", ", " , ").replace(". ", " . ")
-        return text.split(" ")
+            self.known.update(zip(names[k : k + 1000], self._together(plain[k : k + 1000]), strict=True))
+        mixed = [not x for x in letters]
+        self.known.update(zip(compress(keys, mixed), self._singly(list(compress(runs, mixed))), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian integers of ``width`` bytes."""
-        split = [self._runs(t) for t in texts]
+    def _know(self, runs: set[str] | set[bytes]) -> None:
         if len(self.known) > self.cap or self.held > self.chars:
             self.known, self.before, self.held = {"": b""}, self.known if self.held <= 2 * self.chars else {}, 0
-        known, before = self.known, self.before
-        new = set().union(*split).difference(known)
+        new = runs.difference(self.known)
         self.held += sum(map(len, new))
-        old = new.intersection(before)
-        known.update([(w, before[w]) for w in old])
-        self._learn(list(new - old))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        old = new.intersection(self.before)
+        self.known.update([(w, self.before[w]) for w in old])
+        keys = list(new - old)
+        if keys:
+            self._learn(keys, keys if isinstance(keys[0], str) else b"\n".join(keys).decode("latin-1").split("\n"))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian integers of ``width`` bytes."""
+        simple, other = [], []
+        for k, text in enumerate(texts):
+            try:
+                if "<|" not in text:  # special tokens are matched before the normalizer, in lower case only
+                    simple.append((k, text.encode("latin-1")))
+                    continue
+            except UnicodeEncodeError:
+                pass
+            other.append((k, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+        out = [b""] * len(texts)
+        if other:
+            self._know(set().union(*(words for _, words in other)))
+            for k, words in other:
+                out[k] = b"".join(map(self.known.__getitem__, words))
+        if simple:
+            for (k, _), raw in zip(simple, self._encode_latin([text for _, text in simple]), strict=True):
+                out[k] = raw
+        return out
+
+    def _encode_latin(self, texts: list[bytes]) -> list[bytes]:
+        joined = b" ".join(texts).translate(LOWER)
+        kind = np.frombuffer(joined.translate(KIND), np.uint8)
+        before = np.zeros_like(kind)
+        before[1:] = kind[:-1] << 3
+        starts = np.frombuffer((before | kind).tobytes().translate(STARTS), bool)
+        kept = kind != 0
+        begins = np.append(np.flatnonzero(starts[kept]), np.count_nonzero(kept))
+        body = np.frombuffer(joined, np.uint8)[kept]
+        runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins) - 1, [None, pa.py_buffer(begins.astype(np.int64)), pa.py_buffer(body)]).dictionary_encode()
+        offsets = np.frombuffer(runs.dictionary.buffers()[1], np.int64, len(runs.dictionary) + 1).tolist()
+        names = (runs.dictionary.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        distinct = [names[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        self._know(set(distinct))
+        ids = pa.array([self.known[r] for r in distinct], pa.large_binary()).take(runs.indices)
+        stops = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, ids.offset * 8)
+        raw = memoryview(ids.buffers()[2] or b"")
+        # A text's first run is the number of runs that start before it.
+        ahead = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        first = np.searchsorted(np.flatnonzero(starts), ahead)
+        cuts = stops[first].tolist()
+        return [bytes(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @worker_memo(2)
@@ -210,7 +269,7 @@ def write_store(docs: DataFrame, path: str, where: str, end_id: int = 2, id_col:
             first, row = ids[0], write_shard(ids, arrays, coder.width, shared.value)
             return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([k], pa.int32()), pa.array([first], pa.int64()), pa.array([sum(map(len, arrays)) // coder.width], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([row], pa.binary())], ["part", "k", "first_id", "n_tokens", "n_docs", "image"])
 
-        for part in slices(batches, 1, 2 << 20):
+        for part in slices(batches, 1, 4 << 20):
             if task is None:
                 task = part.column(2)[0].as_py()
             ids += part.column(0).to_pylist()
