@@ -7,8 +7,8 @@ Format of a shard (all integers little-endian)::
     index: per document  i64 id, u8 id is null, u64 frame offset, u64 tokens
     u64 offset of the index | "KTSX"
 
-A store is a folder with ``dictionary`` (the trained dictionary and its hash, one row) and ``shards``
-(one row per shard: number, ids, tokens, image).  The images are cells of Parquet files that Spark's
+A store is a folder with ``dictionary`` (the trained dictionary and its hash, one row), ``shards``
+(one row per shard: number, ids, tokens, image) and ``starts`` (ids before each shard).  The images are cells of Parquet files that Spark's
 writer commits, so a store can live wherever Spark can write and survives lost or repeated tasks.
 A document is read by its index entry alone: seek, take one frame, decompress with the dictionary whose
 hash the shard names.
@@ -283,9 +283,21 @@ def write_store(docs: DataFrame, path: str, where: str, end_id: int = 2, id_col:
 
     ordered = source.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "body").withColumn("part", F.spark_partition_id())
     ordered.mapInArrow(shards, "part int, k int, first_id bigint, n_tokens bigint, n_docs bigint, image binary").write.parquet(f"{where}/shards")
+    _write_starts(spark, where)
     return where
 
 
+def _write_starts(spark: SparkSession, where: str) -> None:
+    """Ids before each shard: those of the parts before its part (a row a part, summed up in one task), and of shards before it inside."""
+    sizes = spark.read.parquet(f"{where}/shards").select("part", "k", "n_tokens")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    within = sizes.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    within.join(parts, "part").select("part", "k", (F.col("ahead") + F.col("inside")).alias("start")).write.parquet(f"{where}/starts")
+
+
+STARTS_SCHEMA = "part int, k int, start bigint"
 STORE_SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
@@ -300,15 +312,9 @@ def store_digest(spark: SparkSession, where: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, where: str, schema: str, names: list[str], kind: pa.DataType, value) -> DataFrame:
-    stored = spark.read.parquet(f"{where}/shards")
-    order = Window.partitionBy("part").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    # Ids before a shard: those of the parts before its part (a row a part, summed up in one task), and of shards before it inside.
-    sizes = stored.select("part", "k", "n_tokens")
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    within = sizes.withColumn("inside", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).drop("n_tokens")
-    # Broadcast or not by Spark's own check of the size.
-    starts = within.join(parts, "part").select("part", "k", (F.col("ahead") + F.col("inside")).alias("start"))
-    placed = stored.select("part", "k", "image").join(starts, ["part", "k"]).select("start", "image")
+    # Spark broadcasts the starts if their files are small enough, so images are exchanged in large stores only.
+    starts = spark.read.schema(STARTS_SCHEMA).parquet(f"{where}/starts")
+    placed = spark.read.parquet(f"{where}/shards").select("part", "k", "image").join(starts, ["part", "k"]).select("start", "image")
     dictionary = spark.sparkContext.broadcast(bytes(spark.read.parquet(f"{where}/dictionary").first().dictionary))
 
     def read(batches):
