@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import Cache, map_slices, worker_memo
 
-LEAF = 16  #: bytes that are merged directly; longer words are halved and joined
+LEAF = 6  #: bytes that are merged directly; longer pieces are halved and joined
 FAR = 1 << 60
 
 
@@ -36,6 +36,9 @@ class RankBPE:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
+        # Leaves and the narrowest windows recur in most words, so their encodings are remembered.
+        self.leaves = Cache(self._scan)
+        self.seams = Cache(lambda pair: self._scan(self.tokens[pair[0]] + self.tokens[pair[1]]))
 
     def _scan(self, piece: bytes) -> list[int]:
         """Direct merges, lowest rank first and leftmost among equals: for short pieces."""
@@ -88,8 +91,8 @@ class RankBPE:
         if not left or not right:
             return left + right
         a = b = 1
+        window = self.seams[left[-1], right[0]]
         while True:
-            window = self.direct(self.decode(left[-a:]) + self.decode(right[:b]))
             steady_left = a == len(left) or window[0] == left[-a]
             steady_right = b == len(right) or window[-1] == right[b - 1]
             if steady_left and steady_right:
@@ -98,10 +101,11 @@ class RankBPE:
                 a = min(len(left), 2 * a + 1)
             if not steady_right:
                 b = min(len(right), 2 * b + 1)
+            window = self.direct(self.decode(left[-a:]) + self.decode(right[:b]))
 
     def encode(self, piece: bytes) -> list[int]:
         if len(piece) <= LEAF:
-            return self._scan(piece)
+            return self.leaves[piece]
         half = len(piece) // 2
         return self.join(self.encode(piece[:half]), self.encode(piece[half:]))
 
