@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections.abc import Iterable
 
 import pyarrow as pa
 import regex
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import Cache, map_slices, worker_memo
 
 LEAF = 6  #: bytes that are merged directly; longer pieces are halved and joined
+MEMO = 200_000  #: matches remembered in a worker, twice
 FAR = 1 << 60
 
 
@@ -37,8 +39,8 @@ class RankBPE:
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
         # Leaves and the narrowest windows recur in most words, so their encodings are remembered.
-        self.leaves = Cache(self._scan)
-        self.seams = Cache(lambda pair: self._scan(self.tokens[pair[0]] + self.tokens[pair[1]]))
+        self.leaves = Cache(lambda piece: tuple(self._scan(piece)))
+        self.seams = Cache(lambda pair: tuple(self._scan(self.tokens[pair[0]] + self.tokens[pair[1]])))
 
     def _scan(self, piece: bytes) -> list[int]:
         """Direct merges, lowest rank first and leftmost among equals: for short pieces."""
@@ -86,7 +88,7 @@ class RankBPE:
     def direct(self, piece: bytes) -> list[int]:
         return self._scan(piece) if len(piece) <= 96 else self._heap(piece)
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of two encoded byte strings one after the other."""
         if not left or not right:
             return left + right
@@ -101,17 +103,20 @@ class RankBPE:
                 a = min(len(left), 2 * a + 1)
             if not steady_right:
                 b = min(len(right), 2 * b + 1)
-            window = self.direct(self.decode(left[-a:]) + self.decode(right[:b]))
+            window = tuple(self.direct(self.decode(left[-a:]) + self.decode(right[:b])))
 
-    def encode(self, piece: bytes) -> list[int]:
+    def reduce(self, piece: bytes) -> tuple[int, ...]:
+        """The encoding by halves: leaves are merged directly, neighbours joined."""
         if len(piece) <= LEAF:
             return self.leaves[piece]
         half = len(piece) // 2
-        return self.join(self.encode(piece[:half]), self.encode(piece[half:]))
+        return self.join(self.reduce(piece[:half]), self.reduce(piece[half:]))
+
+    def encode(self, piece: bytes) -> list[int]:
+        return list(self.reduce(piece))
 
-    def decode(self, ids: list[int]) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in ids])
+    def decode(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
 
     def proper(self) -> bool:
         """Whether each token is the encoding of its own bytes; joins need it."""
@@ -130,17 +135,15 @@ class TextCoder:
     def __init__(self, path: str, pattern: str):
         self.bpe = load_ranks(path)
         self.find = regex.compile(pattern).findall
-        self.ids = Cache(lambda piece: ",".join(map(str, self.bpe.encode(piece.encode()))))
-        self.bytes = Cache(lambda ids: self.bpe.decode(map(int, ids.split(","))))
+        self.ids = Cache(lambda piece: ",".join(map(str, self.bpe.reduce(piece.encode()))), MEMO)
+        self.bytes = Cache(lambda ids: self.bpe.decode(map(int, ids.split(","))), MEMO)
 
     def encode(self, text: str) -> list[str]:
         """The ids of each match of the pattern."""
-        ids = self.ids
-        return [ids[piece] for piece in self.find(text)]
+        return list(map(self.ids.__getitem__, self.find(text)))
 
     def decode(self, encoded: list[str]) -> bytes:
-        back = self.bytes
-        return b"".join([back[ids] for ids in encoded])
+        return b"".join(map(self.bytes.__getitem__, encoded))
 
 
 @worker_memo(4)
