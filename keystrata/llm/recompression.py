@@ -34,15 +34,16 @@ from pyspark.sql import DataFrame
 from . import repeats
 from .common import bucketed, delete_path, shared_path
 from .repeats import Docs, Removal, Runs, merged_rows, null_or, number_runs, spread
-from .tree import INFO, STATE, Naming, Numbers, Tree, blobs, distinct_rows, from_blob, info_rows, mix, to_blob
+from .tree import INFO, STATE, Naming, Numbers, Tree, blobs, distinct_rows, first_bytes, from_blob, info_rows, mix, numbered, to_blob
 from .tree import Words as WordKeys
 
 WORDS, ROUNDS = 13, 3
+#: Shards that a partition has about.
+TOGETHER = 4
 #: Words that are rewritten at once; bytes of a long text that are split at once.
 BLOCK, CHUNK = 1 << 20, 1 << 20
 FAR = 1 << 30
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
-IN_WORD = np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)])
 ONE = np.uint64(1 << 32 | 1)
 
 
@@ -63,33 +64,16 @@ def word_numbers(text: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """
     data = np.frombuffer(text, np.uint8)
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = IN_WORD[data]
+    np.logical_and(data != 32, data - np.uint8(9) > 4, out=inside[1:-1])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     begin, end = edges[::2], edges[1::2]
     size = end - begin
-    aligned = np.zeros(len(data) // 8 + 4, "<u8")
-    aligned.view(np.uint8)[: len(data)] = data
-    shift = (begin & 7).astype(np.uint64) * np.uint64(8)
-    back = (np.uint64(64) - shift) & np.uint64(63)
-
-    def load(k: int) -> np.ndarray:
-        """Bytes 8 * k to 8 * k + 7 of each word, zeros beyond its end."""
-        at = (begin >> 3) + k
-        value = aligned[at] >> shift | np.where(shift > 0, aligned[at + 1] << back, 0)
-        have = np.clip(size - 8 * k, 0, 8).astype(np.uint64) * np.uint64(8)
-        return np.where(have == 64, value, value & ((np.uint64(1) << (have & np.uint64(63))) - np.uint64(1)))
-
-    low, high = load(0), load(1)
+    low, high = first_bytes(data, begin, size)
     long = np.flatnonzero(size > 16)
     seen: dict[bytes, int] = {}
     high[long] = [seen.setdefault(text[a:b], len(seen)) for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True)]
     low[long], kind = 0, np.minimum(size, 17).astype(np.uint64)
-    hashes = mix(low * np.uint64(0xC2B2AE3D27D4EB4F) + mix(high + kind * np.uint64(0x9E3779B97F4A7C15)))
-    order = np.argsort(hashes)
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = hashes[order[1:]] != hashes[order[:-1]]
-    first, number = order[fresh], np.empty(len(order), np.int64)
-    number[order] = np.cumsum(fresh) - 1
+    first, number = numbered(mix(low * np.uint64(0xC2B2AE3D27D4EB4F) + mix(high + kind * np.uint64(0x9E3779B97F4A7C15))))
     model = first[number]
     if ((low != low[model]) | (high != high[model]) | (kind != kind[model])).any():  # two words of one hash
         keys, number = distinct_rows(np.stack([low, high, kind], 1))
@@ -343,7 +327,7 @@ def report_words(tree: Tree) -> Callable:
         if not read.words:
             return info_rows([])
         times = sum((np.bincount(c, minlength=len(read.words)) for c in read.codes), np.zeros(len(read.words), np.int64))
-        return info_rows(tree.ask(WordKeys(), read.words, times > 1, shard, shard))
+        return info_rows(tree.ask(WordKeys(), WordKeys().of(read.words), times > 1, shard, shard))
 
     return run
 
@@ -378,7 +362,7 @@ def start_states(tree: Tree, method: Words) -> Callable:
         read = read_words(docs)
         if not read.words:
             return info_rows([])
-        names, states, held, size = tree.answers(WordKeys(), read.words, right, shard), [], [], 0
+        names, states, held, size = tree.answers(WordKeys(), WordKeys().of(read.words), right, shard), [], [], 0
 
         def close() -> None:
             made = first_state(*(np.array(x, np.int64) for x in zip(*((docs.ids[d], docs.h8[d], at, len(part)) for d, at, part in held), strict=True)), names[np.concatenate([part for *_, part in held])])
@@ -429,7 +413,7 @@ def next_states(tree: Tree, method: Words, level: int) -> Callable:
 
 def remove_repeats(docs: DataFrame, method: Words, apply: Callable[[Removal, pa.Table], pa.Table], schema) -> DataFrame:
     """Each round is a job of its own: its names are checkpointed, its states a table that the next but one deletes."""
-    dealt, spark = repeats.deal(docs), docs.sparkSession
+    dealt, spark = repeats.deal(docs, together=TOGETHER), docs.sparkSession
     tree = dealt.tree
     told = tree.agree(dealt.step(report_words(tree)).repartition(tree.parts, "target"), WordKeys(), Naming(0)).checkpoint()
     where = shared_path(spark, "state")

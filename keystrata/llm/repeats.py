@@ -101,7 +101,22 @@ class Runs(NamedTuple):
         return Runs(*(x[at] for x in self[:-1]), self.payload[units])
 
     def pack(self) -> bytes:
-        return to_blob(*(x.astype(k) for x, k in zip(self[:-1], RUN_KINDS, strict=True)), self.payload)
+        head = [x.astype(k) for x, k in zip(self[:-1], RUN_KINDS, strict=True)]
+        if self.payload.itemsize == 1:
+            return to_blob(*head, self.payload)
+        # Units that are numbers: those that occur, the most frequent ones first, and each unit's place among them.
+        units, number, times = np.unique(self.payload, return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        place = np.empty(len(order), "<u4")
+        place[order] = np.arange(len(order))
+        return to_blob(*head, units[order], place[number])
+
+    @classmethod
+    def unpack(cls, blob: bytes, payload: str) -> Runs:
+        if np.dtype(payload).itemsize == 1:
+            return cls(*from_blob(blob, *RUN_KINDS, payload))
+        *head, units, place = from_blob(blob, *RUN_KINDS, payload, "<u4")
+        return cls(*head, units[place])
 
     @classmethod
     def joined(cls, parts: list[Runs]) -> Runs:
@@ -273,7 +288,7 @@ def merge_node(tree: Tree, method: Method, level: int) -> Callable:
         target = key[0].as_py()
         if target >= 0:  # marks, on their way to a shard
             return table
-        parts = [Runs(*from_blob(b, *RUN_KINDS, method.payload)) for _, b in blobs(table, RUNS)]
+        parts = [Runs.unpack(b, method.payload) for _, b in blobs(table, RUNS)]
         child = np.repeat(np.arange(len(parts)), [len(p.n) for p in parts])
         out = info_rows(merged_rows(tree, method, Runs.joined(parts), child, target, level))
         trim()
@@ -387,15 +402,17 @@ def packer(tasks: int, size: int) -> Callable:
     return run
 
 
-def deal(docs: DataFrame, carry: list[Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> Dealt:
+def deal(docs: DataFrame, carry: list[Column] | None = None, id_col: str = "doc_id", text_col: str = "text", together: int = 1) -> Dealt:
     """Shards hold each text once, and of the other columns only what ``carry`` asks for.
 
+    A partition has about ``together`` shards, one after the other: an exchange has as many blocks as the square of the partitions.
+
     A null id travels as the least bigint with a negative hash; a real one of that value has another.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     row = docs.select(F.length(body).alias("n"), F.spark_partition_id().alias("part")).agg(F.sum("n").alias("size"), F.count("*").alias("n"), F.max("part").alias("last")).first()
-    parts = min(MAX_PARTITIONS, max(-(-(row["size"] or 0) // SHARD_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = min(MAX_PARTITIONS, max(-(-(row["size"] or 0) // (SHARD_BYTES * together)), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     key, h = F.col(id_col).cast("bigint"), F.xxhash64(body)
     h8 = F.when(key.isNull(), h.bitwiseOR(F.lit(SIGN))).when(key == NULL_ID, h.bitwiseAND(F.lit(~SIGN))).otherwise(h)
     named = docs.select(F.coalesce(key, F.lit(NULL_ID)).alias("ks_id"), h8.alias("ks_h8"), body.alias("ks_body"), *(carry or []), F.substring(F.unhex(F.sha2(body, 256)), 1, 16).alias("ks_key"))

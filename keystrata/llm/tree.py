@@ -1,7 +1,9 @@
 """How shards agree on keys, and merge runs of windows: a tree of nodes, at any number of shards.
 
-Level 1 has a node for every group of ``FAN`` shards and every one of ``FAN`` buckets of keys; a node of level
-k has ``FAN`` nodes of the level below as children, and the keys of one of FAN^k buckets.  Each child sends a
+Level 1 has a node for every group of ``fan`` shards and every one of ``fan`` buckets of keys; a node of level
+k has ``fan`` nodes of the level below as children, and the keys of one of fan^k buckets.  The fan is ``FAN`` if
+one level will do, else the least that reaches all shards at the depth that ``FAN`` needs, so that a level has
+about as many nodes as there are shards.  Each child sends a
 node every key once, so a node gets a row a child and at most a key a child, however often a key occurs in
 the corpus.  The depth grows with the logarithm of the shards; a node's size doesn't grow at all.
 
@@ -47,8 +49,16 @@ _PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 def to_blob(*arrays: np.ndarray) -> bytes:
     """Arrays of any kinds; the bytes of a number lie apart, first bytes first, which packs better."""
     sizes = np.array([len(a) for a in arrays], "<i8").tobytes()
-    body = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if a.itemsize > 1 and len(a) else a.tobytes() for a in arrays)
-    return _PACK.compress(sizes + b"".join(body))
+    body = (_planes(a) if a.itemsize > 1 and len(a) else a.tobytes() for a in arrays)
+    return _PACK.compress(b"".join((sizes, *body)))
+
+
+def _planes(a: np.ndarray) -> np.ndarray:
+    raw = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1)
+    out = np.empty(raw.shape[::-1], np.uint8)
+    for k in range(len(out)):  # a transposition at once goes byte by byte
+        out[k] = raw[:, k]
+    return out
 
 
 def from_blob(blob: bytes, *kinds: str) -> list[np.ndarray]:
@@ -57,7 +67,12 @@ def from_blob(blob: bytes, *kinds: str) -> list[np.ndarray]:
     for n, kind in zip(np.frombuffer(raw, "<i8", len(kinds)), kinds, strict=True):
         width = np.dtype(kind).itemsize
         flat = np.frombuffer(raw, np.uint8, n * width, at)
-        out.append(np.ascontiguousarray(flat.reshape(width, n).T).view(kind).ravel() if width > 1 and n else flat.view(kind))
+        if width > 1 and n:
+            rows = np.empty((n, width), np.uint8)
+            for k, plane in enumerate(flat.reshape(width, n)):
+                rows[:, k] = plane
+            flat = rows.ravel()
+        out.append(flat.view(kind))
         at += n * width
     return out
 
@@ -94,6 +109,10 @@ class Tree(NamedTuple):
         fan, depth = fan or FAN, 1
         while fan**depth < shards:
             depth += 1
+        # The top has fan^depth buckets, so the fan of several levels is no wider than they need: 257 shards of a fan of
+        # 256 would have 65,536 top nodes, and 256 rows a shard and level.
+        while depth > 1 and (fan - 1) ** depth >= shards:
+            fan -= 1
         return cls(fan, depth, parts)
 
     def nodes(self, level: int, shard, hashes: np.ndarray) -> np.ndarray:
@@ -156,11 +175,32 @@ class Numbers:
         return distinct_rows(np.concatenate(found))
 
 
+def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index of each distinct hash, and the number of each hash among them.
+
+    Only upper bits are told apart, as the lower ones hold the index while sorting; callers compare what is hashed.
+    """
+    n = len(hashes)
+    bits = np.uint64(n.bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    ordered = np.sort(hashes & ~low | np.arange(n, dtype=np.uint64))
+    order = (ordered & low).astype(np.int64)
+    ordered >>= bits
+    fresh = np.ones(n, bool)
+    fresh[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(n, np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return order[fresh], number
+
+
 def distinct_rows(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows, and the number of each row among them."""
     if keys.shape[1] == 1:
         values, number = np.unique(keys[:, 0], return_inverse=True)
         return values[:, None], number
+    first, number = numbered(Numbers(keys.shape[1]).hashes(keys))
+    if all((col == col[first][number]).all() for col in np.ascontiguousarray(keys.T)):
+        return keys[first], number
     order = np.lexsort(keys.T[::-1])
     ordered = keys[order]
     fresh = np.ones(len(keys), bool)
@@ -170,26 +210,64 @@ def distinct_rows(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[fresh], number
 
 
+#: By bytes, what of eight bytes is theirs.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def first_bytes(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 8 bytes of each stretch of the data and the next 8, as numbers; zeros beyond its end."""
+    padded = np.zeros(len(data) + 24, np.uint8)
+    padded[: len(data)] = data
+    at = np.ndarray(len(data) + 16, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    low, high = at[begin] & MASKS[np.minimum(size, 8)], np.zeros(len(begin), np.uint64)
+    more = np.flatnonzero(size > 8)
+    high[more] = at[begin[more] + 8] & MASKS[np.minimum(size[more] - 8, 8)]
+    return low, high
+
+
 class Words:
     """Keys of bytes without ASCII white space, compared as they are."""
 
-    def hashes(self, keys: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
+    def of(self, words: list[bytes]) -> pa.Array:
+        return pa.array(words, pa.large_binary())
+
+    def parts(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key ends in the data, after a zero; and the data."""
+        if not len(keys):
+            return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+        _, ends, data = keys.buffers()
+        ends = np.frombuffer(ends, np.int64)[keys.offset : keys.offset + len(keys) + 1]
+        return ends - ends[0], np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+
+    def hashes(self, keys: pa.Array) -> np.ndarray:
+        ends, data = self.parts(keys)
+        size = np.diff(ends)
+        low, high = first_bytes(data, ends[:-1], size)
+        out = mix(low * np.uint64(0xC2B2AE3D27D4EB4F) + mix(high + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        long = np.flatnonzero(size > 16)
+        out[long] = np.fromiter((xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(ends[long].tolist(), ends[long + 1].tolist(), strict=True)), np.uint64, len(long))
+        return out
 
-    def pick(self, keys: list[bytes], at: np.ndarray) -> list[bytes]:
-        return [keys[k] for k in at.tolist()]
+    def pick(self, keys: pa.Array, at: np.ndarray) -> pa.Array:
+        return keys.take(pa.array(at))
 
-    def pack(self, keys: list[bytes], twice: np.ndarray) -> bytes:
-        return to_blob(twice.astype(np.uint8), np.frombuffer(b" ".join(keys), np.uint8))
+    def pack(self, keys: pa.Array, twice: np.ndarray) -> bytes:
+        ends, data = self.parts(keys)
+        text = np.full(len(data) + len(keys), 32, np.uint8)  # a space after each
+        inside = np.ones(len(text), bool)
+        inside[ends[1:] + np.arange(len(keys))] = False
+        text[inside] = data
+        return to_blob(twice.astype(np.uint8), text)
 
-    def unpack(self, blob: bytes) -> tuple[list[bytes], np.ndarray]:
+    def unpack(self, blob: bytes) -> tuple[pa.Array, np.ndarray]:
         twice, text = from_blob(blob, "u1", "u1")
-        return text.tobytes().split(), twice.astype(bool)
+        inside = text != 32
+        ends = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(~inside) - np.arange(len(twice))])
+        return pa.Array.from_buffers(pa.large_binary(), len(twice), [None, pa.py_buffer(ends), pa.py_buffer(text[inside])]), twice.astype(bool)
 
-    def unify(self, found: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
-        number: dict[bytes, int] = {}
-        at = np.fromiter((number.setdefault(w, len(number)) for keys in found for w in keys), np.int64, sum(map(len, found)))
-        return list(number), at
+    def unify(self, found: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
+        coded = pa.concat_arrays(found).dictionary_encode()
+        return coded.dictionary, coded.indices.to_numpy().astype(np.int64)
 
 
 class Shared:

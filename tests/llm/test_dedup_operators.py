@@ -159,6 +159,52 @@ def test_a_node_never_gets_more_than_a_row_a_child(spark):
             assert len(names) == 16 and 0 not in names and all(g[2] == 0 for g in got.values())
 
 
+def test_a_tree_has_about_as_many_nodes_as_shards():
+    """Just over a power of the fan, too: 2,400 shards (6 GB) once had 65,536 top nodes and 256 rows a shard and level."""
+    hashes = np.random.default_rng(6).integers(0, 1 << 63, 400_000).astype(np.uint64)
+    for shards in (204, 257, 2400, 12_000, 70_000):
+        shape = tree.Tree.over(shards, 4)
+        assert shape.fan <= tree.FAN and shape.fan**shape.depth >= shards
+        assert len(np.unique(shape.nodes(shape.depth, 0, hashes))) <= 2 * shards
+        assert len(np.unique(shape.nodes(1, shards - 1, hashes))) ** shape.depth <= 2 * shards
+
+
+def test_partitions_can_hold_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 1000)
+    docs = frame(spark, [(i, f"{i} " * 100) for i in range(200)])
+    one, four = (repeats.deal(docs.select("doc_id", "text"), together=k).tree for k in (1, 4))
+    assert 3 * four.parts < one.parts and (one.fan, one.depth) == (four.fan, four.depth)
+
+
+def test_runs_travel_whole():
+    for method, unit in ((suffix_dedup.Bytes(16, 8), np.uint8), (recompression.Words(5), np.uint64)):
+        texts = [np.random.default_rng(k).integers(0, 200, method.window + k).astype(unit) << unit(k % 2) for k in range(9)]
+        sent = some_runs(method, texts, np.arange(9), list(range(9))).pick(np.array([1, 2, 5]), method.window)
+        for a, b in zip(sent, repeats.Runs.unpack(sent.pack(), method.payload), strict=True):
+            assert a.tolist() == b.tolist()
+
+
+def test_keys_are_told_apart_by_what_they_hold(monkeypatch):
+    """Words and rows of numbers, also if every hash collides."""
+    words = [b"a", b"a\0", b"\0", b"x" * 8, b"x" * 9, b"x" * 16, b"x" * 16 + b"\0", b"x" * 17, b"x" * 16 + b"y", "é".encode(), b"z" * 5000]
+    codec = tree.Words()
+    keys, twice = codec.of(words), np.arange(len(words)) % 2 == 0
+    assert len(np.unique(codec.hashes(keys))) == len(words)
+    assert (codec.hashes(keys[3:8]) == codec.hashes(keys)[3:8]).all() and not len(codec.hashes(codec.of([])))
+    got, flags = codec.unpack(codec.pack(codec.pick(keys, np.arange(len(words))[::-1]), twice))
+    assert got.to_pylist() == words[::-1] and (flags == twice).all()
+    assert codec.unpack(codec.pack(keys[2:4], twice[2:4]))[0].to_pylist() == words[2:4]
+    known, number = codec.unify([keys, codec.of(words[::-1])])
+    assert sorted(known.to_pylist()) == sorted(words) and [known[int(k)].as_py() for k in number] == words + words[::-1]
+    rows = np.random.default_rng(7).integers(0, 3, (500, 3)).astype(np.uint64)
+    for collide in (False, True):
+        if collide:
+            monkeypatch.setattr(tree, "mix", lambda a: np.zeros_like(a))
+        for some in (rows, rows[:1], rows[:0]):
+            found, number = tree.distinct_rows(some)
+            assert (found[number] == some).all() and len(found) == len(set(map(tuple, some.tolist())))
+
+
 def words_left(rows, size=13):
     find, first, split = re.compile(rb"[^\x20\x09-\x0D]+").findall, {}, {}
     for d in ordered(rows):
