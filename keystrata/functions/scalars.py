@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,6 +71,11 @@ def seq_label(seq: Column) -> Column:
 
 def _flat(keys) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all keys end to end, where each begins, and its length."""
+    if isinstance(keys, pa.Array):
+        keys = keys.fill_null(b"" if pa.types.is_binary(keys.type) or pa.types.is_large_binary(keys.type) else "").cast(pa.large_binary())
+        _, offsets, data = keys.buffers()
+        edges = np.frombuffer(offsets, np.int64)[keys.offset : keys.offset + len(keys) + 1] if len(keys) else np.zeros(1, np.int64)
+        return np.frombuffer(data or b"", np.uint8), edges[:-1], np.diff(edges)
     raw = [b"" if k is None else bytes(k) if not isinstance(k, str) else k.encode() for k in keys]
     size = np.array([len(r) for r in raw], np.int64)
     return np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size
@@ -97,9 +103,10 @@ def shared_prefix(a: Column, b: Column) -> Column:
 def _fnv1a(keys: pd.Series, basis: int) -> np.ndarray:
     """Hash of each byte string, all strings a byte at a time."""
     data, start, size = _flat(keys)
-    data = data.astype(np.uint64)
-    h = np.full(len(size), basis, np.uint64)
-    for i in range(int(size.max(initial=0))):
+    h, least = np.full(len(size), basis, np.uint64), int(size.min(initial=int(size.max(initial=0))))
+    for i in range(least):
+        h = (h ^ data[start + i]) * np.uint64(FNV_PRIME) & np.uint64(0xFFFFFFFF)
+    for i in range(least, int(size.max(initial=0))):
         live = size > i
         h[live] = (h[live] ^ data[start[live] + i]) * np.uint64(FNV_PRIME) & np.uint64(0xFFFFFFFF)
     return h.astype(np.int64)

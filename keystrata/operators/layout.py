@@ -11,13 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import FNV_BASIS, FNV_PRIME, _fnv1a, byte_size, shared_prefix
 
-# Bytes of a block entry's header; bits a key.
-ENTRY_HEADER, BITS_PER_KEY = 8, 10
+# Bytes of a block entry's header; bits a key; filters, and 64-bit words for all probes, that are tested at once.
+ENTRY_HEADER, BITS_PER_KEY, TESTED_FILTERS, TESTED_WORDS = 8, 10, 4096, 1 << 16
 
 
 def entry_sizes(log: DataFrame) -> DataFrame:
@@ -78,39 +79,188 @@ def bloom_shape(keys: int, bits_per_key: int = BITS_PER_KEY) -> tuple[int, int]:
     return max(64, keys * bits_per_key), min(30, max(1, round(bits_per_key * math.log(2))))
 
 
-def bloom_positions(keys, bits: int, hashes: int) -> np.ndarray:
-    """Bits of each key by double hashing in 32 bits: h1 + i * h2; h2 is odd, and FNV-1a from another basis."""
-    first, second = _fnv1a(keys, FNV_BASIS), 2 * _fnv1a(keys, FNV_BASIS ^ FNV_PRIME) + 1 & 0xFFFFFFFF
+def bloom_hashes(keys) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of 32 bits of each key; the second is odd, and FNV-1a from another basis."""
+    return _fnv1a(keys, FNV_BASIS), 2 * _fnv1a(keys, FNV_BASIS ^ FNV_PRIME) + 1 & 0xFFFFFFFF
+
+
+def bloom_positions(first: np.ndarray, second: np.ndarray, bits: int, hashes: int) -> np.ndarray:
+    """Bits of each key by double hashing in 32 bits: h1 + i * h2."""
     return (first[:, None] + np.arange(hashes) * second[:, None] & 0xFFFFFFFF) % bits
 
 
 def bloom_build(log: DataFrame, keys: int, bits_per_key: int = BITS_PER_KEY, segment: str = "segment_id") -> DataFrame:
     """(segment_id, word, bits): the set 64-bit words of each segment's filter; equal words are combined before the shuffle."""
     bits, hashes = bloom_shape(keys, bits_per_key)
+    width = -(-bits // 64)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = bloom_positions(batch.column(1).to_pylist(), bits, hashes)
-            seg = np.repeat(batch.column(0).to_numpy(), hashes)
-            yield pa.RecordBatch.from_arrays([pa.array(seg), pa.array(at.ravel() // 64), pa.array((np.uint64(1) << (at.ravel() % 64).astype(np.uint64)).view(np.int64))], ["segment_id", "word", "bits"])
+            if not batch.num_rows:
+                continue
+            at = bloom_positions(*bloom_hashes(batch.column(1)), bits, hashes).ravel()
+            seg, of = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            code = np.repeat(of.astype(np.int64) * width, hashes) + at // 64
+            order = np.argsort(code)
+            code, mask = code[order], (np.uint64(1) << (at % 64).astype(np.uint64))[order]
+            begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            code, held = code[begin], np.bitwise_or.reduceat(mask, begin)
+            yield pa.RecordBatch.from_arrays([pa.array(seg[code // width]), pa.array(code % width), pa.array(held.view(np.int64))], ["segment_id", "word", "bits"])
+
+    # A key that comes twice sets the same bits, so keys need not be made distinct.
+    found = log.select(F.col(segment).cast("bigint").alias("segment_id"), "key").where("segment_id IS NOT NULL AND key IS NOT NULL")
+    return found.mapInArrow(words, "segment_id bigint, word bigint, bits bigint").groupBy("segment_id", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def _strips(filters: DataFrame, bits: int) -> DataFrame:
+    """(segments, data): filters of up to 64 segments side by side: for each bit of a filter as few bytes as have a bit for each segment."""
+    width = -(-bits // 64)
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segments, held = [], np.zeros((64, width), "<u8")
+
+        def strip() -> pa.RecordBatch:
+            parts = (held[: len(segments), i : i + 1024].copy().view(np.uint8) for i in range(0, width, 1024))
+            turned = (np.packbits(np.unpackbits(part, axis=1, bitorder="little"), axis=0, bitorder="little").T.tobytes() for part in parts)
+            return pa.RecordBatch.from_arrays([pa.array([segments], pa.list_(pa.int64())), pa.array([b"".join(turned)])], ["segments", "data"])
+
+        for batch in batches:
+            seg, word, mask = (batch.column(i).to_numpy() for i in range(3))
+            edges = [*np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])[: len(seg)]).tolist(), len(seg)]
+            for start, stop in zip(edges, edges[1:], strict=False):
+                if not segments or segments[-1] != seg[start]:
+                    if len(segments) == 64:
+                        yield strip()
+                        segments, held[:] = [], 0
+                    segments.append(int(seg[start]))
+                held[len(segments) - 1, word[start:stop]] = mask[start:stop].view(np.uint64)
+        if segments:
+            yield strip()
+
+    # Eight segments that are numbered one after another meet in a task, so that bytes are full at any number of tasks.
+    return filters.select("segment_id", "word", "bits").repartition(F.shiftright("segment_id", 3)).sortWithinPartitions("segment_id").mapInArrow(lay, "segments array<bigint>, data binary")
+
+
+def _pass(filters: DataFrame, probes: DataFrame, keys: int, bits_per_key: int, pairs: bool) -> DataFrame:
+    """All distinct probes against all filters: (segment_id, key) of those let through, or parts of their count as n.
+
+    The two hashes of a probe go to one task, and every strip of filters to all of these tasks, which hold their probes
+    (8 bytes each, and keys if pairs are wanted) and let the strips pass: one AND of 64-bit words tests 64 segments.
+    """
+    bits, hashes = bloom_shape(keys, bits_per_key)
+    spark, kind = probes.sparkSession, probes.schema["key"].dataType.simpleString()
+    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a task, of every so manieth probe."""
+        for batch in batches:
+            key = batch.column(0)
+            both = np.stack(bloom_hashes(key), 1).astype("<u4")
+            to = range(min(tasks, len(key)))
+            held = pa.array([None] * len(to), pa.list_(key.type))
+            if pairs:
+                turn = [np.arange(i, len(key), tasks) for i in to]
+                held = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, turn)]), pa.int32()), key.take(pa.array(np.concatenate([[], *turn]), pa.int64())))
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([None] * len(to), pa.list_(pa.int64())), pa.array([both[i::tasks].tobytes() for i in to], pa.binary()), held], ["task", "segments", "data", "keys"])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """First come the task's probes, then strips."""
+        both, key, strips, wide = [], [], [], 0
+
+        def tested() -> Iterator[pa.RecordBatch]:
+            sides = np.concatenate([data for _, data in strips], 1)
+            words = np.pad(sides, ((0, 0), (0, -sides.shape[1] % 8))).view("<u8")
+            segments = np.array([s for ids, _ in strips for s in ids + [0] * (-len(ids) % 8)])  # no key passes where no segment is
+            step, n = max(1, TESTED_WORDS // words.shape[1]), 0
+            taken = np.empty((step, words.shape[1]), np.uint64)
+            for i in range(0, len(both), step):
+                at = bloom_positions(*both[i : i + step].T.astype(np.int64), bits, hashes)
+                left = words[at[:, 0]]
+                for j in range(1, hashes):
+                    left &= np.take(words, at[:, j], 0, out=taken[: len(at)], mode="clip")
+                if not pairs:
+                    n += int(np.bitwise_count(left).sum(dtype=np.int64))
+                elif left.any():
+                    probe, of = np.nonzero(np.unpackbits(left.view(np.uint8), axis=1, bitorder="little"))
+                    yield pa.RecordBatch.from_arrays([pa.array(segments[of]), key.take(pa.array(probe + i))], ["segment_id", "key"])
+            if not pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+        for batch in batches:
+            for ids, data, held in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+                if not ids.is_valid:
+                    both.append(np.frombuffer(data.as_py(), "<u4").reshape(-1, 2))
+                    key += [held.values] if pairs else []
+                    continue
+                if isinstance(both, list):
+                    if not both:
+                        return
+                    both, key = np.concatenate(both), pa.concat_arrays(key) if pairs else None
+                strips.append((ids.as_py(), np.frombuffer(data.as_py(), np.uint8).reshape(-(-bits // 64) * 64, -1)))
+                wide += strips[-1][1].shape[1] * 8
+                if wide >= TESTED_FILTERS:
+                    yield from tested()
+                    strips, wide = [], 0
+        if strips:
+            yield from tested()
 
-    found = log.select(F.col(segment).cast("bigint").alias("segment_id"), "key").distinct().mapInArrow(words, "segment_id bigint, word bigint, bits bigint")
-    return found.groupBy("segment_id", "word").agg(F.bit_or("bits").alias("bits"))
+    schema = f"task int, segments array<bigint>, data binary, keys array<{kind}>"
+    dealt = probes.select("key").where("key IS NOT NULL").distinct().mapInArrow(deal, schema)
+    every = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))
+    strips = _strips(filters, bits).select(every.alias("task"), "segments", "data", F.lit(None).cast(f"array<{kind}>").alias("keys"))
+    met = dealt.union(strips).repartitionById(tasks, F.col("task")).sortWithinPartitions(F.col("segments").isNotNull())
+    return met.mapInArrow(test, f"segment_id bigint, key {kind}" if pairs else "n bigint")
 
 
 def bloom_may_contain(filters: DataFrame, probes: DataFrame, keys: int, bits_per_key: int = BITS_PER_KEY) -> DataFrame:
     """(segment_id, key) of probes that a segment's filter doesn't rule out: all of the key's bits are set."""
+    return _pass(filters, probes, keys, bits_per_key, True)
+
+
+def bloom_passes(filters: DataFrame, probes: DataFrame, keys: int, bits_per_key: int = BITS_PER_KEY) -> DataFrame:
+    """(n): how many rows ``bloom_may_contain`` has, without making them."""
+    return _pass(filters, probes, keys, bits_per_key, False).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def bloom_held(filters: DataFrame, log: DataFrame, keys: int, bits_per_key: int = BITS_PER_KEY, segment: str = "segment_id") -> DataFrame:
+    """Distinct (segment_id, key) of the log that the filter of that segment doesn't rule out.  Nulls are in no filter, which rules nothing out.
+
+    Tasks stream their segments, each one's filter and then its sorted keys; one filter is all that is held.
+    """
     bits, hashes = bloom_shape(keys, bits_per_key)
-    kind = probes.schema["key"].dataType.simpleString()
+    kind = log.schema["key"].dataType.simpleString()
+    names = ["segment_id", "key"]
 
-    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now, last, loose = np.zeros(-(-bits // 64), np.uint64), None, None, set()
         for batch in batches:
-            at = bloom_positions(batch.column(0).to_pylist(), bits, hashes).ravel()
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), hashes))), pa.array(at // 64), pa.array((np.uint64(1) << (at % 64).astype(np.uint64)).view(np.int64))], ["key", "word", "mask"])
-
-    wanted = probes.select("key").distinct().mapInArrow(positions, f"key {kind}, word bigint, mask bigint")
-    # One row a word of each key (a key's bits may share a word): the count says how many must hold.
-    wanted = wanted.groupBy("key", "word").agg(F.bit_or("mask").alias("mask"))
-    need = wanted.groupBy("key").agg(F.count("*").alias("need"))
-    held = wanted.join(filters, "word").where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).groupBy("segment_id", "key").agg(F.count("*").alias("n"))
-    return held.join(need, "key").where("n = need").select("segment_id", "key")
+            odd = pc.or_(pc.is_null(batch.column(0)), pc.and_(pc.is_null(batch.column(1)), pc.is_null(batch.column(2))))
+            if pc.any(odd).as_py():
+                loose.update(zip(*(c.to_pylist() for c in batch.filter(odd).columns[:2]), strict=True))
+                batch = batch.filter(pc.invert(odd))
+            if not batch.num_rows:
+                continue
+            seg, key, is_key = batch.column(0).to_numpy(), batch.column(1), batch.column(2).is_null().to_numpy(False)
+            word, mask = (batch.column(i).fill_null(0).to_numpy() for i in (2, 3))
+            at = bloom_positions(*bloom_hashes(key), bits, hashes)
+            fresh = np.concatenate([[True], seg[1:] != seg[:-1]])
+            edges = [*np.flatnonzero(fresh).tolist(), len(seg)]
+            fresh[1:] |= pc.fill_null(pc.not_equal(key[1:], key[:-1]), True).to_numpy(False)
+            fresh[0] = last != (seg[0], key[0].as_py())
+            last = seg[-1], key[-1].as_py()
+            passed = np.zeros(len(seg), bool)
+            for start, stop in zip(edges, edges[1:], strict=False):
+                if now != seg[start]:
+                    now, held[:] = seg[start], 0
+                begin = start + int(np.count_nonzero(~is_key[start:stop]))
+                held[word[start:begin]] = mask[start:begin].view(np.uint64)
+                of = at[begin:stop]
+                passed[begin:stop] = (held[of // 64] >> (of % 64).astype(np.uint64) & np.uint64(1)).all(1)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(passed & fresh)) for c in batch.columns[:2]], names)
+        if loose:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*loose, strict=True), batch.columns, strict=False)], names)
+
+    own = log.select(F.col(segment).cast("bigint").alias("segment_id"), "key", F.lit(None).cast("bigint").alias("word"), F.lit(None).cast("bigint").alias("bits"))
+    met = filters.select("segment_id", F.lit(None).cast(kind).alias("key"), "word", "bits").union(own)
+    # Filters' rows have no key, and so come first.
+    return met.repartition("segment_id").sortWithinPartitions("segment_id", "key").mapInArrow(test, f"segment_id bigint, key {kind}")

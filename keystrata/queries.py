@@ -249,9 +249,9 @@ def bloom_probe(spark, sf_dir):
     log = segmented(orders_log(spark, sf_dir))
     foreign = table(spark, sf_dir, "orders").select(F.concat(F.lit("probe:"), F.col("o_orderkey").cast("string")).alias("key"))
     filters = layout.bloom_build(log, 1000)
-    own = layout.bloom_may_contain(filters, log, 1000).join(log.select("segment_id", "key"), ["segment_id", "key"], "left_semi")
-    named = lambda frame, name: frame.agg(F.count("*").alias("n")).select(F.lit(name).alias("probes"), "n")
-    return named(layout.bloom_may_contain(filters, foreign, 1000), "foreign").union(named(own, "own"))
+    own = layout.bloom_held(filters, log, 1000).agg(F.count("*").alias("n"))
+    named = lambda frame, name: frame.select(F.lit(name).alias("probes"), "n")
+    return named(layout.bloom_passes(filters, foreign, 1000), "foreign").union(named(own, "own"))
 
 
 def record_crc32(spark, sf_dir):

@@ -1,11 +1,14 @@
 import struct
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from keystrata.functions import scalars
 from keystrata.operators import layout, metrics
+from keystrata.queries import QUERIES
 from keystrata.streaming import latest
 
 
@@ -64,6 +67,54 @@ def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     assert layout.bloom_may_contain(filters, probes, 1000).count() < 2 * 5000 * 0.02
 
 
+@pytest.mark.parametrize("of", ["concat('key_', id)", "encode(repeat('x', int(id % 7)) || id, 'utf-8')"])
+def test_bloom_filters_of_many_segments_equal_a_test_of_each(spark, of):
+    log = spark.range(3000).selectExpr("(id * 7919) % 150 * 1000003 AS segment_id", f"{of} AS key")
+    probes = spark.range(2500, 4000).selectExpr(f"{of} AS key").union(spark.sql(f"SELECT {of} AS key FROM VALUES (0), (0), (null) AS x(id)"))
+    filters = layout.bloom_build(log, 20).persist()  # 200 bits, which end inside a word
+    sets, (bits, hashes) = {}, layout.bloom_shape(20)
+    raw = lambda k: k.encode() if isinstance(k, str) else bytes(k)
+    for r in filters.collect():
+        sets.setdefault(r.segment_id, set()).update(r.word * 64 + i for i in range(64) if r.bits >> i & 1)
+
+    def wanted(keys):
+        at = layout.bloom_positions(*layout.bloom_hashes(keys), bits, hashes).tolist()
+        return sorted((s, raw(k)) for s, held in sets.items() for k, p in zip(keys, at, strict=True) if held.issuperset(p))
+
+    got = sorted((r.segment_id, raw(r.key)) for r in layout.bloom_may_contain(filters, probes, 20).collect())
+    assert len(sets) == 150 and got == wanted([r.key for r in probes.where("key IS NOT NULL").distinct().collect()])
+    assert [r.n for r in layout.bloom_passes(filters, probes, 20).collect()] == [len(got)]
+    # Keys of one segment that are tested against another's filter, rows that come twice, and nulls.
+    other = log.selectExpr("(segment_id + 1000003) % (150 * 1000003) AS segment_id", "key")
+    own = layout.bloom_held(filters, log.union(other).union(other).union(spark.sql("SELECT null AS segment_id, null AS key")), 20).collect()
+    every, pairs = set(wanted([r.key for r in log.collect()])), {(r.segment_id, raw(r.key)) for r in log.union(other).collect()}
+    assert sorted((r.segment_id, raw(r.key)) for r in own if r.key is not None) == sorted(every & pairs)
+    assert sum(r.key is None for r in own) == 1
+
+
+def test_bloom_probe_makes_no_row_for_each_probe_and_segment(spark, tmp_path):
+    """A row for each word that a probe and a segment have in common would be 280 million rows here."""
+    spark.range(200_000).selectExpr("id AS o_orderkey", "'O' AS o_orderstatus").write.parquet(str(tmp_path / "orders.parquet"))
+    frame = QUERIES["bloom_probe"](spark, str(tmp_path))
+    assert "Join" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.probes: r.n for r in frame.collect()}
+    own, foreign = (layout.bloom_positions(*layout.bloom_hashes(pa.array(f"{name}{i:0{n}}" for i in range(200_000))), 10_000, 7) for name, n in (("order:", 10), ("probe:", 1)))
+    passed = 0
+    for segment in range(200):
+        held = np.zeros(10_000, bool)
+        held[own[segment * 1000 : segment * 1000 + 1000]] = True
+        passed += int(held[foreign].all(1).sum())
+    assert got == {"own": 200_000, "foreign": passed}
+
+
+def test_bloom_filters_of_no_rows(spark):
+    none, some = (spark.range(n).selectExpr("id AS segment_id", "concat('key_', id) AS key") for n in (0, 9))
+    for log, probes in ((none, some), (some, none), (none, none)):
+        filters = layout.bloom_build(log, 10)
+        assert layout.bloom_passes(filters, probes, 10).collect()[0].n == 0
+        assert layout.bloom_may_contain(filters, probes, 10).count() == layout.bloom_held(filters, probes, 10).count() == 0
+
+
 def test_level_counts_and_overlap(spark):
     m = spark.createDataFrame([(1, 0, "aaa", "mmm", 1), (2, 0, "nnn", "zzz", 1), (3, 1, "a", "z", 1), (4, 2, "0", "9", 1)], "segment_id bigint, level int, min_key string, max_key string, rows bigint")
     assert {r.level: (r.segments, r.due) for r in metrics.level_counts(m, 2).collect()} == {0: (2, True), 1: (1, False), 2: (1, False)}
